@@ -25,16 +25,20 @@ def to_datetime(c):
     return F.when(c.rlike("[-/:]"), parsed)
 
 
-def column_facts(df: DataFrame):
-    """One row per column: class, rows, nonnull, uniques, mean text length, shares of parsable text."""
+def column_facts(df: DataFrame, parse=True):
+    """One row per column: class, rows, nonnull, uniques, mean text length, shares of parsable text.
+
+    ``parse=False`` leaves out the shares that need every text to be parsed.
+    """
     num, txt, dat = numeric_columns(df), string_columns(df), datetime_columns(df)
     aggs = [F.count("*").alias("_rows")]
     for i, c in enumerate(df.columns):
-        aggs += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}")]
+        aggs.append(F.count(c).alias(f"n{i}"))
         if c in txt:
             t = F.col(c)
+            aggs.append(F.avg(F.length(t)).alias(f"len{i}"))
+        if c in txt and parse:
             aggs += [
-                F.avg(F.length(t)).alias(f"len{i}"),
                 F.avg(F.when(t.isNotNull(), F.expr(f"try_cast(trim(`{c}`) as double)").isNotNull().cast("double"))).alias(f"num{i}"),
                 F.avg(F.when(t.isNotNull(), to_datetime(c).isNotNull().cast("double"))).alias(f"dat{i}"),
                 F.max(F.when(F.contains(t, F.lit(".")), 1).otherwise(0)).alias(f"dot{i}"),
@@ -51,16 +55,20 @@ def column_facts(df: DataFrame):
             F.struct(
                 F.lit(c).alias("column"),
                 F.lit("numeric" if c in num else "text" if text else "datetime" if c in dat else "other").alias("class"),
-                F.col("_rows").alias("rows"), F.col(f"n{i}").alias("non_null"), F.col(f"d{i}").alias("uniques"),
+                F.col("_rows").alias("rows"), F.col(f"n{i}").alias("non_null"),
                 (F.col(f"len{i}") if text else null("double")).alias("mean_length"),
-                (F.col(f"num{i}") if text else null("double")).alias("numeric_share"),
-                (F.col(f"dat{i}") if text else null("double")).alias("datetime_share"),
-                (F.col(f"dot{i}") if text else null("int")).alias("has_dot"),
-                (F.greatest(*[F.col(f"shape{j}_{i}") for j in range(len(DATE_SHAPES))]) if text else null("double")).alias("date_shape_share"),
+                (F.col(f"num{i}") if text and parse else null("double")).alias("numeric_share"),
+                (F.col(f"dat{i}") if text and parse else null("double")).alias("datetime_share"),
+                (F.col(f"dot{i}") if text and parse else null("int")).alias("has_dot"),
+                (F.greatest(*[F.col(f"shape{j}_{i}") for j in range(len(DATE_SHAPES))]) if text and parse else null("double")).alias("date_shape_share"),
                 (F.col(f"whole{i}") if c in num else null("int")).alias("whole"),
             )
         )
-    return df.agg(*aggs).select(F.inline(F.array(*items)))
+    # Distinct counts shuffle the distinct values, so they run apart from the shuffle-free facts.
+    uniques = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(df.columns)]).select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("uniques")) for i, c in enumerate(df.columns)]))
+    )
+    return df.agg(*aggs).select(F.inline(F.array(*items))).join(uniques, "column")
 
 
 def detect_roles(df: DataFrame):
@@ -73,7 +81,7 @@ def detect_roles(df: DataFrame):
         .when((F.col("class") == "text") & (F.col("mean_length") > 20), "text")
         .otherwise("categorical")
     )
-    return column_facts(df).select("column", role.alias("role"))
+    return column_facts(df, parse=False).select("column", role.alias("role"))
 
 
 def detect_roles_with_ids(df: DataFrame):
@@ -140,7 +148,7 @@ def suggest_types(df: DataFrame):
 
 def detect_categorical(df: DataFrame, max_unique=20, min_freq=0.01):
     """Columns that are likely categorical (one column ``column``)."""
-    facts = column_facts(df)
+    facts = column_facts(df, parse=False)
     ok = F.col("uniques") <= F.greatest(F.lit(float(max_unique)), F.col("rows") * min_freq)
     text = facts.where(ok & (F.col("class") == "text") & (F.col("uniques") <= max_unique)).select("column")
     nums = [c for c in numeric_columns(df)]

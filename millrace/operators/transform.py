@@ -213,18 +213,11 @@ def quantile_transform(df, learned):
 
 
 def _position(v, array, size):
-    """Index of the last array element <= v, by halving the index range."""
-    pos = F.lit(0)
-    width = 1
-    while width < size:
-        width *= 2
-    while width >= 1:
-        ahead = pos + width
-        pos = F.when((ahead < size) & (F.get(array, ahead) <= v), ahead).otherwise(pos)
-        width //= 2
-        if width == 0:
-            break
-    return pos
+    """Index of the last array element <= v, by halving steps over the array."""
+    widths = [2**k for k in range(size.bit_length() - 1, -1, -1)]
+    return F.aggregate(
+        F.lit(widths), F.lit(0), lambda pos, w: F.when((pos + w < size) & (F.get(array, pos + w) <= v), pos + w).otherwise(pos)
+    )
 
 
 @step("sigmoid", _columns_fit)

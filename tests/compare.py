@@ -7,12 +7,14 @@ import glob
 import math
 import os
 import sys
+import threading
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb
 
+LIMIT = 60
 DATA = os.environ.get("TESTDATA", "/root/testdata")
 
 
@@ -74,10 +76,13 @@ if __name__ == "__main__":
         if prefixes and not name.startswith(prefixes):
             continue
         start = time.time()
+        guard = threading.Timer(LIMIT, lambda: (spark.sparkContext.cancelAllJobs(), con.interrupt()))
+        guard.start()
         try:
             problem = compare(spark, con, sf, query, sqls.get(name))
         except Exception as e:  # report and go on to the next check
             problem = f"{type(e).__name__}: {str(e)[:600]}"
+        guard.cancel()
         total += 1
         bad += problem is not None
         mark = "ok " if problem is None else "BAD"
