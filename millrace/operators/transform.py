@@ -33,48 +33,47 @@ def log_feature(df, learned):
 
 
 def box_cox(v, lam):
-    lam = float(lam)
-    return F.ln(v) if lam == 0 else (F.pow(v, F.lit(lam)) - 1) / F.lit(lam)
+    lam = F.lit(float(lam)) if isinstance(lam, (int, float)) else lam
+    return F.when(F.abs(lam) < 1e-12, F.ln(v)).otherwise((F.pow(v, lam) - 1) / lam)
 
 
 def yeo_johnson(v, lam):
-    lam = float(lam)
-    up = F.log1p(v) if lam == 0 else (F.pow(v + 1, F.lit(lam)) - 1) / F.lit(lam)
-    mu = 2.0 - lam
-    down = -F.log1p(-v) if mu == 0 else -(F.pow(1 - v, F.lit(mu)) - 1) / F.lit(mu)
-    return F.when(v >= 0, up).otherwise(down)
+    lam = F.lit(float(lam)) if isinstance(lam, (int, float)) else lam
+    return F.when(v >= 0, box_cox(v + 1, lam)).otherwise(-box_cox(1 - v, 2 - lam))
 
 
 def likelihood_lambda(df: DataFrame, columns, family="yeo-johnson", shifts=None, low=-5.0, high=5.0, rounds=4, grid=21):
-    """Maximum-likelihood lambda per column. Every round evaluates a whole grid for all columns in one job."""
+    """Maximum-likelihood lambda per column.
+
+    Every round evaluates a whole grid of candidates for all columns in one job that combines to
+    ``grid`` rows before its shuffle, then narrows the range around the best one.
+    """
     shifts = shifts or {}
     spans = {c: (low, high) for c in columns}
     best = {}
     for _ in range(rounds):
-        aggs, lams = [], {}
+        j = F.col("_j")
+        aggs = []
         for i, c in enumerate(columns):
             a, b = spans[c]
-            lams[c] = [a + (b - a) * j / (grid - 1) for j in range(grid)]
+            lam = F.lit(a) + j * F.lit((b - a) / (grid - 1))
             v = number(c) + F.lit(float(shifts.get(c, 0.0)))
             if family == "box-cox":
                 transform, slope = box_cox, F.ln(v)
             else:
                 transform, slope = yeo_johnson, F.signum(v) * F.log1p(F.abs(v))
-            aggs.append(F.avg(slope).alias(f"s{i}"))
-            aggs += [F.var_pop(transform(v, lam)).alias(f"v{i}_{j}") for j, lam in enumerate(lams[c])]
-        row = df.agg(*aggs).first()
+            aggs += [F.avg(slope).alias(f"s{i}"), F.var_pop(transform(v, lam)).alias(f"v{i}")]
+        candidates = df.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("_j"))
+        rows = candidates.groupBy("_j").agg(*aggs).collect()
         for i, c in enumerate(columns):
-            if row[f"s{i}"] is None:
-                best[c] = 1.0
-                continue
-            score = []
-            for j, lam in enumerate(lams[c]):
-                var = row[f"v{i}_{j}"]
-                ok = var is not None and var > 0 and math.isfinite(var)
-                score.append(-0.5 * math.log(var) + (lam - 1) * row[f"s{i}"] if ok else -math.inf)
-            j = max(range(grid), key=score.__getitem__)
-            width = lams[c][1] - lams[c][0]
-            best[c] = lams[c][j]
+            a, b = spans[c]
+            width = (b - a) / (grid - 1)
+            score = {}
+            for r in rows:
+                lam, var = a + r["_j"] * width, r[f"v{i}"]
+                if var is not None and var > 0 and math.isfinite(var):
+                    score[lam] = -0.5 * math.log(var) + (lam - 1) * r[f"s{i}"]
+            best[c] = max(score, key=score.get) if score else 1.0
             spans[c] = (best[c] - width, best[c] + width)
     return best
 
