@@ -321,9 +321,9 @@ def a8(spark, sf):
     return rounded(profile.group_summary(lineitem_null(spark, sf), "l_extendedprice", "l_returnflag"))
 
 
-@check("a9_bar_aggregation", "SELECT o_custkey, ROUND(AVG(o_totalprice), 4) AS value FROM orders GROUP BY o_custkey ORDER BY AVG(o_totalprice) DESC, o_custkey LIMIT 15")
+@check("a9_bar_aggregation", "SELECT o_custkey, ROUND(AVG(o_totalprice), 6) AS value FROM orders GROUP BY o_custkey ORDER BY AVG(o_totalprice) DESC, o_custkey LIMIT 15")
 def a9(spark, sf):
-    return rounded(profile.aggregate_by(load(spark, sf, "orders"), "o_custkey", "o_totalprice", "mean", 15))
+    return rounded(profile.aggregate_by(load(spark, sf, "orders"), "o_custkey", "o_totalprice", "mean", 15), 6)
 
 
 @check("a10_value_shares", "SELECT p_brand, COUNT(*) AS count, ROUND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (), 2) AS percentage FROM part GROUP BY p_brand ORDER BY 2 DESC, 1 LIMIT 15")
@@ -345,14 +345,14 @@ def a12(spark, sf):
     return rounded(profile.crosstab(load(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", normalize=True))
 
 
-@check("a13_pivot_mean", "SELECT o_orderpriority, " + ", ".join(f"ROUND(AVG(o_totalprice) FILTER (WHERE o_orderstatus = '{s}'), 4) AS \"{s}\"" for s in _ST)
+@check("a13_pivot_mean", "SELECT o_orderpriority, " + ", ".join(f"ROUND(AVG(o_totalprice) FILTER (WHERE o_orderstatus = '{s}'), 6) AS \"{s}\"" for s in _ST)
        + " FROM orders GROUP BY o_orderpriority")
 def a13(spark, sf):
-    return rounded(profile.pivot_mean(load(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", "o_totalprice"))
+    return rounded(profile.pivot_mean(load(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", "o_totalprice"), 6)
 
 
 def _resample_sql(unit, step, label, agg, fill=False):
-    v = f"ROUND({agg}, 4)"
+    v = f"ROUND({agg}, 6)"
     return f"""WITH s AS (SELECT * FROM events WHERE event_type = 'purchase' OR user_id % 40 = 0),
  g AS (SELECT CAST(date_trunc('{unit}', ts) AS DATE) AS st, {v} AS value FROM s GROUP BY 1),
  cal AS (SELECT CAST(unnest(generate_series(MIN(st), MAX(st), INTERVAL '{step}')) AS DATE) AS st FROM g)
@@ -365,10 +365,10 @@ for _f, _how, _agg, _fill in (("d", "mean", "AVG(value)", False), ("w", "sum", "
                               ("q", "min", "MIN(value)", False), ("y", "count", "COUNT(value)", True)):
     def _run(spark, sf, f=_f, how=_how):
         e = load(spark, sf, "events").where("event_type = 'purchase' OR user_id % 40 = 0")
-        return rounded(profile.resample(e, "ts", "value", f.upper(), how))
+        return rounded(profile.resample(e, "ts", "value", f.upper(), how), 6)
 
     _sql = _resample_sql(*_PER[_f], _agg, _fill)
-    check(f"a14_resample_{_f}", _sql.replace("ROUND(COUNT(value), 4)", "COUNT(value)"))(_run)
+    check(f"a14_resample_{_f}", _sql.replace("ROUND(COUNT(value), 6)", "COUNT(value)"))(_run)
 
 
 @check("a15_class_balance", """WITH c AS (SELECT o_orderstatus, COUNT(*) AS count FROM orders GROUP BY 1)

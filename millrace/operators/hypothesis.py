@@ -193,7 +193,8 @@ def bootstrap_ci(df: DataFrame, column, key, statistic="mean", n_bootstrap=1000,
     """Percentile interval of mean, sum, std or ratio under Poisson resampling.
 
     Rows are hashed into blocks that are resampled as units, so the cost after the first pass does
-    not grow with the table; with fewer rows than blocks this is row resampling.
+    not grow with the table; with fewer rows than blocks this is row resampling. A callable
+    statistic gets the weighted sums (sum, square, denominator, count) and returns a Column.
     """
     keys = [key] if isinstance(key, str) else list(key)
     v, d = number(column), (number(denominator) if denominator else F.lit(1.0))
@@ -207,7 +208,10 @@ def bootstrap_ci(df: DataFrame, column, key, statistic="mean", n_bootstrap=1000,
         weight = weight + (u >= F.lit(p)).cast("int")
     w = F.col("_w")
     s, q, dd, c = (F.sum(w * F.col(x)) for x in ("s", "q", "d", "c"))
-    value = {"mean": s / c, "sum": s, "ratio": s / dd, "std": F.sqrt((q - s * s / c) / (c - 1))}[statistic]
+    if callable(statistic):
+        value = statistic({"sum": s, "square": q, "denominator": dd, "count": c})
+    else:
+        value = {"mean": s / c, "sum": s, "ratio": s / dd, "std": F.sqrt((q - s * s / c) / (c - 1))}[statistic]
     reps = draws.withColumn("_w", weight).groupBy("_i").agg(value.alias("v"))
     tail = (1 - ci) / 2
     return reps.agg(F.percentile("v", F.lit(tail)).alias("lower"), F.percentile("v", F.lit(1 - tail)).alias("upper"), F.avg("v").alias("center"), F.count("*").alias("replicates"))
