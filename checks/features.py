@@ -53,10 +53,10 @@ def g2_all(spark, sf):
 
 
 @check("g2b_rolling_population", "SELECT event_id, user_id, ts, value, " + ", ".join(
-    f"ROUND({e}(value) OVER {_frame(5)}, 4) AS value_window_5_{n}" for n, e in (("std", "STDDEV_POP"), ("var", "VAR_POP"), ("sum", "SUM"), ("median", "MEDIAN"))) +
+    f"ROUND({e}(value) OVER {_frame(5)}, 6) AS value_window_5_{n}" for n, e in (("std", "STDDEV_POP"), ("var", "VAR_POP"), ("sum", "SUM"), ("median", "MEDIAN"))) +
     f", COUNT(value) OVER {_frame(5)} AS value_window_5_count FROM events")
 def g2b(spark, sf):
-    return rounded(timefeat.rolling_features(ev(spark, sf), ["value"], ["ts", "event_id"], (5,), ("std", "var", "sum", "median", "count"), ["user_id"], population=True))
+    return rounded(timefeat.rolling_features(ev(spark, sf), ["value"], ["ts", "event_id"], (5,), ("std", "var", "sum", "median", "count"), ["user_id"], population=True), 6)
 
 
 @check("g2b_rolling_skew_kurt")
@@ -75,9 +75,9 @@ def g3_text(spark, sf):
 
 
 @check("g4_diff_pct", "SELECT event_id, user_id, ts, value, " + ", ".join(
-    f"ROUND(value - LAG(value, {k}) OVER ({_OVER}), 4) AS value_diff_{k}, ROUND(value / NULLIF(LAG(value, {k}) OVER ({_OVER}), 0) - 1, 4) AS value_pct_change_{k}" for k in (1, 3)) + " FROM events")
+    f"ROUND(value - LAG(value, {k}) OVER ({_OVER}), 6) AS value_diff_{k}, ROUND(value / NULLIF(LAG(value, {k}) OVER ({_OVER}), 0) - 1, 6) AS value_pct_change_{k}" for k in (1, 3)) + " FROM events")
 def g4(spark, sf):
-    return rounded(timefeat.diff_features(ev(spark, sf), ["value"], ["ts", "event_id"], (1, 3), ["user_id"]))
+    return rounded(timefeat.diff_features(ev(spark, sf), ["value"], ["ts", "event_id"], (1, 3), ["user_id"]), 6)
 
 
 @check("g5_trend", f"SELECT event_id, user_id, ts, value, ROUND(CASE WHEN COUNT(value) OVER {_frame(7)} = 7 THEN AVG(value) OVER {_frame(7)} END, 4) AS trend FROM events")

@@ -71,12 +71,12 @@ def _interp_sql(part, inner):
   FIRST_VALUE(value IGNORE NULLS) OVER b AS nv, FIRST_VALUE(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS np,
   FIRST_VALUE(CASE WHEN value IS NOT NULL THEN us END IGNORE NULLS) OVER b AS nt FROM r
   WINDOW a AS ({p}ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS ({p}ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
- SELECT event_id, user_id, ROUND(COALESCE(value, {inner}, pv, nv), 4) AS value FROM w"""
+ SELECT event_id, user_id, ROUND(COALESCE(value, {inner}, pv, nv), 6) AS value FROM w"""
 
 
 def _interp(spark, sf, method, part=()):
     e = events_null(spark, sf)
-    return rounded(missing.fill_interpolation(e, ["value"], ["ts", "event_id"], part, method, "ts").select("event_id", "user_id", "value"))
+    return rounded(missing.fill_interpolation(e, ["value"], ["ts", "event_id"], part, method, "ts").select("event_id", "user_id", "value"), 6)
 
 
 @check("m7_interpolate_linear", _interp_sql(None, "pv + (nv - pv) * (pos - pp) / (np - pp)"))

@@ -69,6 +69,9 @@ if __name__ == "__main__":
     sf = f"{DATA}/sf{sys.argv[1] if len(sys.argv) > 1 else '0.001'}"
     prefixes = tuple(sys.argv[2:])
     spark = get_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false"})
+    if os.environ.get("LARGE_PATH"):  # take the plans meant for large inputs, with small blocks
+        for k, v in {"millrace.smallInputBytes": "0", "millrace.blockRows": "97", "millrace.knnChunk": "64"}.items():
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     sqls, bad, total = entry.oracle_sql(), 0, 0
