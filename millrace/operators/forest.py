@@ -53,6 +53,7 @@ def isolation_forest(df: DataFrame, columns, contamination="auto", n_trees=100,
     n = means["_n"]
     filled = df.select(*[F.coalesce(number(c), F.lit(means[c])).alias(c) for c in cols])
     unit = lambda *k: F.pmod(F.xxhash64(*k), F.lit(2**40)) / F.lit(float(2**40))
+    # The row id only keeps copies of a row apart; any id gives a valid random sample.
     # A bounded candidate sample, then about twice SAMPLE rows per tree, then exactly SAMPLE.
     pool = min(float(n), 8.0 * SAMPLE * n_trees)
     base = filled.withColumn("_copy", F.monotonically_increasing_id()).where(unit(F.lit(seed), F.col("_copy"), *cols) < F.lit(min(1.0, pool / max(n, 1))))

@@ -17,7 +17,7 @@ from millrace.plans.quantiles import number
 from millrace.plans.sizing import freeze, keep
 
 CHUNK = 2048
-PIVOTS = 256
+MAX_PIVOTS = 4096
 
 
 def distances(a, b, metric="euclidean"):
@@ -38,12 +38,16 @@ def distances(a, b, metric="euclidean"):
     return out
 
 
-def _pivots(points, spaces):
-    """Up to PIVOTS distinct vectors per space, by hash: a bounded driver-side sample."""
+def _pivots(points):
+    """Hash-sampled distinct vectors per space, about half the square root of its size.
+
+    A space that fits one chunk has a single pivot. At most MAX_PIVOTS vectors reach the driver.
+    """
     out = {}
-    for s in spaces:
-        some = points.where(F.col("space") == s).select("vec").distinct().orderBy(F.xxhash64("vec"), "vec")
-        out[s] = np.array([r[0] for r in some.limit(PIVOTS).collect()], float)
+    for r in points.groupBy("space").agg(F.count("*").alias("n")).collect():
+        size = 1 if r["n"] <= CHUNK else min(MAX_PIVOTS, int(r["n"] ** 0.5 / 2))
+        some = points.where(F.col("space") == r["space"]).select("vec").distinct().orderBy(F.xxhash64("vec"), "vec")
+        out[r["space"]] = np.array([v[0] for v in some.limit(size).collect()], float)
     return out
 
 
@@ -95,13 +99,13 @@ def nearest(queries: DataFrame, points: DataFrame, k, metric="euclidean"):
     which one copy is not its own neighbour, else NULL). points: pid long, space int, vec, n long.
     ``scale`` multiplies the distances of a query; a query may appear in several spaces.
     """
-    spaces = [r[0] for r in points.select("space").distinct().collect()]
-    pivots = _pivots(points, spaces)
+    pivots = _pivots(points)
+    spaces = list(pivots)
     pts = freeze(_assign(points, pivots, metric), "points")
     cells = pts.groupBy("space", "cell").agg(F.count("*").alias("n"), F.max("to_pivot").alias("radius"))
     cells = keep(cells, "cells")
     table = {}
-    for r in cells.collect():  # at most PIVOTS rows per space
+    for r in cells.collect():  # one row per pivot
         table.setdefault(r["space"], {})[r["cell"]] = r["radius"]
     qs = queries.where(F.col("space").isin(spaces))
     home = freeze(_assign(qs, pivots, metric), "queries")
@@ -133,6 +137,8 @@ def nearest(queries: DataFrame, points: DataFrame, k, metric="euclidean"):
     # Step 1: a query's own cell gives an upper bound of its k-th distance.
     qcount = home.groupBy("space", "cell").agg(F.count("*").alias("m"))
     first = freeze(_blocks(home, pts, cells.select("space", "cell", "n"), qcount, block, schema), "near")
+    if all(len(v) == 1 for v in pivots.values()):
+        return _top(first, kk)
     bound = _top(first, kk).groupBy("qid").agg(F.max("distance").alias("bound"), F.sum("n").alias("got"))
     bound = bound.select("qid", F.when(F.col("got") >= kk, F.col("bound")).alias("bound"))
     # Step 2: visit the other cells whose ball may hold something closer.

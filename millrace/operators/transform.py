@@ -1,5 +1,6 @@
 """Numeric transforms that add derived columns."""
 
+import json
 import math
 
 from pyspark.sql import DataFrame
@@ -196,7 +197,7 @@ def quantile_transform(df, learned):
         ps = [(points[x][0] + points[x][1]) / 2 / (n - 1) for x in xs]
         ps[0], ps[-1] = (0.0, 1.0) if len(xs) > 1 else (ps[0], ps[-1])
         v = number(c)
-        gx, gp = F.lit(xs), F.lit(ps)
+        gx, gp = _constant_array(xs), _constant_array(ps)
         at = F.col(f"_at_{c}")
         df = df.withColumn(f"_at_{c}", _position(v, gx, len(xs)))
         x0, x1 = F.get(gx, at), F.get(gx, at + 1)
@@ -211,6 +212,11 @@ def quantile_transform(df, learned):
     return _add(df, new).drop(*[f"_at_{c}" for c in learned["grid"]])
 
 
+def _constant_array(values):
+    """Array literal given as one text, which the optimizer folds into a constant."""
+    return F.from_json(F.lit(json.dumps(values)), "array<double>")
+
+
 def _position(v, array, size):
     """Index of the last array element <= v, by halving steps over the array."""
     widths = [2**k for k in range(size.bit_length() - 1, -1, -1)]
