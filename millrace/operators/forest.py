@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.plans.quantiles import column_quantiles, number
+from millrace.plans.sizing import freeze, spread
 
 SAMPLE = 256
 
@@ -75,26 +76,34 @@ def isolation_forest(df: DataFrame, columns, contamination="auto", n_trees=100,
     centre = [means[c] for c in cols]
 
     def apply(batches):
+        # All trees side by side: node numbers are offsets into one table.
+        starts = np.cumsum([0] + [len(t) for t in shared.value[:-1]])
+        table = np.concatenate(shared.value)
+        feature, threshold, depth = table[:, 0].astype(np.int32), table[:, 1], table[:, 4]
+        leaf = feature < 0
+        own = np.repeat(starts, [len(t) for t in shared.value])
+        here = np.arange(len(table))
+        left, right = (np.where(leaf, here, own + table[:, k].astype(int)).astype(np.int32) for k in (2, 3))
+        feature = np.maximum(feature, 0)
+        levels = int(math.ceil(math.log2(SAMPLE))) + 1
         for pdf in batches:
             x = pdf[cols].astype(float).to_numpy()
             x = np.where(np.isnan(x), np.array(centre, float), x)
-            depth = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for tree in shared.value:
-                at = np.zeros(len(x), int)
-                while True:
-                    f = tree[at, 0].astype(int)
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    go_left = x[rows, np.maximum(f, 0)] < tree[at, 1]
-                    at = np.where(inner, np.where(go_left, tree[at, 2], tree[at, 3]).astype(int), at)
-                depth += tree[at, 4]
-            yield pdf.assign(**{score: 2.0 ** (-depth / len(shared.value) / typical)})
-
-    scored = df.mapInPandas(apply, schema)
+            total = np.empty(len(x))
+            for s in range(0, len(x), 1024):
+                part = x[s : s + 1024]
+                rows = np.arange(len(part))[:, None]
+                at = np.tile(starts.astype(np.int32), (len(part), 1))
+                for _ in range(levels):
+                    at = np.where(part[rows, feature[at]] < threshold[at], left[at], right[at])
+                total[s : s + 1024] = depth[at].sum(1)
+            yield pdf.assign(**{score: 2.0 ** (-total / len(starts) / typical)})
+
+    scored = spread(df).mapInPandas(apply, schema)
     if contamination == "auto":
         cut = 0.5
     else:
+        # The scores are read twice, for the cut and for the flags.
+        scored = freeze(scored, "scores")
         cut = column_quantiles(scored, [score], [1 - contamination])[score][0]
     return scored.withColumn(name, F.col(score) > F.lit(cut))

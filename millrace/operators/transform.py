@@ -10,6 +10,7 @@ from millrace.operators.columns import numeric_or, replace_columns
 from millrace.operators.scale import log_of
 from millrace.plans.ordered import number_rows
 from millrace.plans.quantiles import column_quantiles, number
+from millrace.plans.sizing import spread
 from millrace.plans.spec import fit_transform, step
 
 
@@ -43,15 +44,17 @@ def yeo_johnson(v, lam):
     return F.when(v >= 0, box_cox(v + 1, lam)).otherwise(-box_cox(1 - v, 2 - lam))
 
 
-def likelihood_lambda(df: DataFrame, columns, family="yeo-johnson", shifts=None, low=-5.0, high=5.0, rounds=4, grid=21):
+def likelihood_lambda(df: DataFrame, columns, family="yeo-johnson", shifts=None, low=-5.0, high=5.0, rounds=3, grid=13):
     """Maximum-likelihood lambda per column.
 
     Every round evaluates a whole grid of candidates for all columns in one job that combines to
-    ``grid`` rows before its shuffle, then narrows the range around the best one.
+    ``grid`` rows before its shuffle, then narrows the range around the best one. The last step is
+    the vertex of the parabola through the three best candidates.
     """
     shifts = shifts or {}
     spans = {c: (low, high) for c in columns}
     best = {}
+    df = spread(df.select(*columns))
     for _ in range(rounds):
         j = F.col("_j")
         aggs = []
@@ -75,6 +78,12 @@ def likelihood_lambda(df: DataFrame, columns, family="yeo-johnson", shifts=None,
                 if var is not None and var > 0 and math.isfinite(var):
                     score[lam] = -0.5 * math.log(var) + (lam - 1) * r[f"s{i}"]
             best[c] = max(score, key=score.get) if score else 1.0
+            order = sorted(score)
+            at = order.index(best[c]) if score else 0
+            if 0 < at < len(order) - 1:
+                y0, y1, y2 = (score[order[at + k]] for k in (-1, 0, 1))
+                bend = y0 - 2 * y1 + y2
+                best[c] += 0.5 * width * (y0 - y2) / bend if bend < 0 else 0.0
             spans[c] = (best[c] - width, best[c] + width)
     return best
 

@@ -123,8 +123,10 @@ def carry_neighbours(df: DataFrame, names, order_by, partition_by=()):
     if not small:
         df = freeze(df.withColumn("_block", F.floor((F.col("_pos") - 1) / size)), "numbered")
         keys = [*parts, "_block"]
-    w = Window.partitionBy(*keys).orderBy("_pos")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # The frame after a row is taken in falling order: a frame that shrinks from the front would be
+    # evaluated anew for every row.
+    w = Window.partitionBy(*keys)
+    back, ahead = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_pos"), F.desc("_pos")))
 
     def known(c):
         return F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_pos").alias("p")))
@@ -132,7 +134,7 @@ def carry_neighbours(df: DataFrame, names, order_by, partition_by=()):
     out = df.select(
         "*",
         *[F.last(known(c), ignorenulls=True).over(back).alias(f"_p_{c}") for c in names],
-        *[F.first(known(c), ignorenulls=True).over(ahead).alias(f"_n_{c}") for c in names],
+        *[F.last(known(c), ignorenulls=True).over(ahead).alias(f"_n_{c}") for c in names],
     )
     if not small:
         edge_aggs = []
@@ -142,11 +144,11 @@ def carry_neighbours(df: DataFrame, names, order_by, partition_by=()):
                 F.min_by(known(c), F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(f"_f_{c}"),
             ]
         edges = df.groupBy(*keys).agg(*edge_aggs)
-        b = Window.partitionBy(*parts).orderBy("_block")
+        earlier, later = (Window.partitionBy(*parts).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_block"), F.desc("_block")))
         edges = edges.select(
             *keys,
-            *[F.last(f"_l_{c}", ignorenulls=True).over(b.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_cp_{c}") for c in names],
-            *[F.first(f"_f_{c}", ignorenulls=True).over(b.rowsBetween(1, Window.unboundedFollowing)).alias(f"_cn_{c}") for c in names],
+            *[F.last(f"_l_{c}", ignorenulls=True).over(earlier).alias(f"_cp_{c}") for c in names],
+            *[F.last(f"_f_{c}", ignorenulls=True).over(later).alias(f"_cn_{c}") for c in names],
         )
         plain = [c for c in out.columns if not c.startswith(("_p_", "_n_"))]
         out = (
