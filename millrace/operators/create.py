@@ -10,7 +10,7 @@ from millrace.operators.columns import numeric_columns, numeric_or
 from millrace.operators.transform import _add
 from millrace.plans.lookup import attach
 from millrace.plans.quantiles import column_quantiles, number
-from millrace.plans.sizing import keep
+from millrace.plans.sizing import keep, spread
 from millrace.plans.spec import step
 
 _PAIR = {
@@ -97,33 +97,39 @@ def datetime_features(df, learned):
     return out.drop(*learned["columns"]) if learned.get("drop_original") else out
 
 
-# Unicode white space, as a text splitter sees it, and counted punctuation.
-SPACE = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}"
+# White space beyond the ASCII kind, as a text splitter sees it, and counted punctuation.
+WIDE_SPACE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}"
+SPACE = r"\s" + WIDE_SPACE
 PUNCTUATION = r"""[.,;:!?()\[\]{}"']"""
 
 
+def plain_spaces(c):
+    """Wide white space as blanks, one for one, so that the short ASCII classes find every gap."""
+    return F.regexp_replace(c, f"[{WIDE_SPACE}]", " ")
+
+
 def words(c):
-    """Words of a text: maximal runs of non-space characters."""
-    return F.regexp_extract_all(c, F.lit(f"([^{SPACE}]+)"), F.lit(1))
+    """Words of a text with plain spaces: maximal runs of non-space characters."""
+    return F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
 
 
 def _word_count(c):
-    return F.regexp_count(c, F.lit(f"[^{SPACE}]+"))
+    return F.regexp_count(c, F.lit(r"\S+"))
 
 
-def _avg_word_length(c):
-    n = _word_count(c)
-    return F.when(n == 0, 0.0).otherwise(F.length(F.regexp_replace(c, f"[{SPACE}]+", "")) / n)
+def _kept(c, dropped):
+    """Number of characters left when the runs of the other characters are removed."""
+    return F.length(F.regexp_replace(c, dropped, ""))
 
 
 _TEXT_PARTS = {
     "char_count": F.length,
     "word_count": _word_count,
     "sentence_count": lambda c: F.regexp_count(c, F.lit("[.!?]+")),
-    "avg_word_length": _avg_word_length,
-    "special_char_count": lambda c: F.regexp_count(c, F.lit(f"[^a-zA-Z0-9{SPACE}]")),
+    "avg_word_length": lambda c: F.coalesce(F.try_divide(_kept(c, r"\s+"), _word_count(c)), F.lit(0.0)),
+    "special_char_count": lambda c: _kept(c, r"[a-zA-Z0-9\s]+"),
     "uppercase_count": lambda c: F.regexp_count(c, F.lit("[A-Z]")),
-    "lowercase_count": lambda c: F.regexp_count(c, F.lit("[a-z]")),
+    "lowercase_count": lambda c: _kept(c, "[^a-z]+"),
     "digit_count": lambda c: F.regexp_count(c, F.lit("[0-9]")),
     "unique_word_count": lambda c: F.size(F.array_distinct(words(F.lower(c)))),
     "word_density": lambda c: _word_count(c) / (F.length(c) + 1),
@@ -137,9 +143,11 @@ TEXT_FEATURES = ("char_count", "word_count", "sentence_count", "avg_word_length"
 def text_features(df, learned):
     """Character, word and sentence counts of text columns; a missing text counts as the text 'nan'."""
     features = learned.get("features") or TEXT_FEATURES
+    plain = {f"_plain_{c}": plain_spaces(F.coalesce(F.col(c).cast("string"), F.lit("nan"))) for c in learned["columns"]}
+    df = (df if df.isStreaming else spread(df)).withColumns(plain)
     new = {}
     for c in learned["columns"]:
-        text = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+        text = F.col(f"_plain_{c}")
         for f in features:
             if f == "stopword_count":
                 new[f"{c}_{f}"] = stopword_count(text, learned.get("language", "english"))
@@ -147,7 +155,7 @@ def text_features(df, learned):
                 new[f"{c}_{f}"] = _TEXT_PARTS[f](text)
             else:
                 raise ValueError(f"unknown text feature {f}")
-    out = _add(df, new)
+    out = _add(df, new).drop(*plain)
     return out.drop(*learned["columns"]) if learned.get("drop_original") else out
 
 
