@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators.columns import numeric_columns, numeric_or, string_columns
 from millrace.operators.moments import kurt, skew
-from millrace.plans.quantiles import exact_quantiles, melt, number
-from millrace.plans.sizing import is_small, keep
+from millrace.plans.quantiles import exact_quantiles, is_compact, melt, number
+from millrace.plans.sizing import keep
 
 STAT_NAMES = ["count", "mean", "std", "min", "q1", "median", "q3", "max", "skew", "kurtosis", "missing", "missing_pct"]
 
@@ -102,7 +102,7 @@ def numeric_summary(df: DataFrame, columns=None):
     aggs = [F.count("*").alias("_rows")]
     for i, c in enumerate(cols):
         aggs += _moments(c, f"_{i}")
-    if is_small(df.select(*cols)):
+    if is_compact(df.select(*cols)):
         # Compact input: the exact percentiles join the same single pass.
         quantile_aggs = [
             F.percentile(number(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i, c in enumerate(cols)
@@ -286,7 +286,7 @@ def group_summary(df: DataFrame, column, group_by):
     groups = [group_by] if isinstance(group_by, str) else list(group_by)
     df = df.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in groups]))
     probs = [0.25, 0.5, 0.75]
-    if is_small(df.select(*groups, column)):
+    if is_compact(df.select(*groups, column)):
         q = F.percentile(number(column), F.array(*[F.lit(p) for p in probs])).alias("_q")
         wide = df.groupBy(*groups).agg(*_moments(column, ""), q)
     else:
