@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from millrace.llm import bpe, html, secrets, simhash
+from millrace.llm import bpe, decontam, html, secrets, simhash
 from millrace.llm.common import load
 
 
@@ -29,5 +29,9 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.round_trip(load(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_html_extraction, op7_byte_bpe)}
+def op9_benchmark_decontamination(spark, sf_dir):
+    return decontam.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_html_extraction, op7_byte_bpe, op9_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
