@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, html, secrets, simhash
+from millrace.llm import bpe, decontam, html, secrets, simhash, topk, toxicity
 from millrace.llm.common import load
 
 
@@ -29,9 +30,41 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.round_trip(load(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN)
 
 
+def remainder(column="doc_id"):
+    """crc32(doc_id as text) mod 4; rows with remainder 2 are held out from training."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(4))
+
+
+def toxicity_model(spark, sf_dir):
+    labels = load(spark, sf_dir, "labels").where(remainder() != 2)
+    return toxicity.fit(load(spark, sf_dir, "documents"), labels)
+
+
+def op8_toxicity(spark, sf_dir):
+    scored = toxicity.score(load(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (remainder() == 2).alias("held_out"), "score", "predicted")
+
+
 def op9_benchmark_decontamination(spark, sf_dir):
     return decontam.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_html_extraction, op7_byte_bpe, op9_benchmark_decontamination)}
-ORACLES: dict[str, str] = {}
+def op10_top_k(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_html_extraction, op7_byte_bpe, op8_toxicity, op9_benchmark_decontamination, op10_top_k)}
+
+#: SQL for DuckDB over the given tables.
+ORACLES: dict[str, str] = {
+    "op10_top_k": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+}
