@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, html, secrets, shards, simhash, topk, toxicity
+from millrace.llm import bpe, decontam, html, lines, secrets, shards, simhash, topk, toxicity
 from millrace.llm.common import load
 
 
@@ -31,6 +31,10 @@ def op5_kd_sharding(spark, sf_dir):
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return lines.dedup_lines(load(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op7_byte_bpe(spark, sf_dir):
     return bpe.round_trip(load(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN)
 
@@ -59,10 +63,26 @@ def op10_top_k(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_html_extraction, op5_kd_sharding, op7_byte_bpe, op8_toxicity, op9_benchmark_decontamination, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_html_extraction, op5_kd_sharding, op6_line_dedup, op7_byte_bpe, op8_toxicity, op9_benchmark_decontamination, op10_top_k)}
 
 #: SQL for DuckDB over the given tables.
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM lines),
+        firsts AS (SELECT *, length(line) AS n, length(line) // 3 AS third FROM ranked WHERE nth = 1 AND length(line) >= 30),
+        near AS (
+            SELECT DISTINCT b.line FROM firsts a JOIN firsts b
+            ON b.n BETWEEN a.n - 2 AND a.n + 2 AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.pos < b.pos))
+            WHERE (contains(b.line, substr(a.line, 1, a.third)) OR contains(b.line, substr(a.line, a.third + 1, a.third)) OR contains(b.line, substr(a.line, 2 * a.third + 1)))
+            AND levenshtein(a.line, b.line) <= 2),
+        marked AS (
+            SELECT r.doc_id, r.pos, r.line, length(r.line) >= 10 AND (r.nth > 1 OR n.line IS NOT NULL) AS gone
+            FROM ranked r LEFT JOIN near n ON r.line = n.line)
+        SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS n_dropped,
+            coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+        FROM marked GROUP BY doc_id""",
     "op10_top_k": """
         WITH whole AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
