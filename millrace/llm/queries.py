@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, html, lines, secrets, shards, simhash, topk, toxicity
+from millrace.llm import bpe, decontam, html, lines, quality, secrets, shards, simhash, topk, toxicity
 from millrace.llm.common import load
 
 
@@ -26,6 +26,11 @@ def op3_html_extraction(spark, sf_dir):
     return html.main_text(load(spark, sf_dir, "pages"))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
 def op5_kd_sharding(spark, sf_dir):
     found = shards.kd_shards(load(spark, sf_dir, "documents"), shards=40)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -63,7 +68,7 @@ def op10_top_k(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_html_extraction, op5_kd_sharding, op6_line_dedup, op7_byte_bpe, op8_toxicity, op9_benchmark_decontamination, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_html_extraction, op4_quality_classifier, op5_kd_sharding, op6_line_dedup, op7_byte_bpe, op8_toxicity, op9_benchmark_decontamination, op10_top_k)}
 
 #: SQL for DuckDB over the given tables.
 ORACLES: dict[str, str] = {
