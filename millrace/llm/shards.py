@@ -70,14 +70,20 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         if cuts is None:
             break
         # At most one row per shard: the cuts of one level are a small local table.
-        at = rows.join(F.broadcast(cuts), "first", "left")
-        half, right = F.floor(F.col("leaves") / 2), F.element_at(keys, F.col("dim") + 1) > F.col("cut")
+        at = rows.join(cuts, "first", "left")
+        half, right = F.floor(F.col("leaves") / 2), F.get(keys, F.col("dim").cast("int")) > F.col("cut")
         rows = at.select("id", "size", "text_crc32", *[f"k{k}" for k in range(n_dims)],
                          F.when(right, F.col("first") + half).otherwise(F.col("first")).alias("first"),
                          F.when(F.col("dim").isNull(), F.col("leaves")).when(right, F.col("leaves") - half).otherwise(half).alias("leaves"))
     return _slots(rows.select(F.col("id").alias(id_col), "size", "text_crc32", F.col("first").cast("int").alias("shard")), id_col)
 
 
+def _local(spark, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """A small table of numbers of the driver, by SQL literals; its rows are bounded by the number of shards."""
+    values = ", ".join("(" + ", ".join(f"{x!r}D" if isinstance(x, float) else f"{x}L" for x in row) + ")" for row in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})"))
+
+
 def _cuts(rows: DataFrame, keys: Column, n_dims: int) -> DataFrame | None:
     """(first, dim, cut) for every node with rows: keys up to cut go left. None if there is no such node."""
     spread = [(F.shiftright(F.max(f"k{k}"), TIE) - F.shiftright(F.min(f"k{k}"), TIE)) for k in range(n_dims)]
@@ -91,12 +97,12 @@ def _cuts(rows: DataFrame, keys: Column, n_dims: int) -> DataFrame | None:
         state[n["first"]] = {"dim": dim, "low": n["ends"][dim]["low"], "high": n["ends"][dim]["high"], "goal": n["bytes"] * (n["leaves"] // 2) / n["leaves"], "below": 0, "own": 0}
     while any(s["low"] < s["high"] for s in state.values()):
         open_ = [(f, s["dim"], s["low"], s["high"], ((s["high"] - s["low"]) >> BIN) + 1) for f, s in state.items() if s["low"] < s["high"]]
-        asked = F.broadcast(spark.createDataFrame(open_, "first long, dim int, low long, high long, step long"))
-        key = F.element_at(keys, F.col("dim") + 1)
+        asked = _local(spark, open_, ("first", "dim", "low", "high", "step"))
+        key = F.get(keys, F.col("dim").cast("int"))
         inside = rows.join(asked, "first").select("first", "low", "high", "step", "size", key.alias("key")).where("key between low and high")
         counted = inside.groupBy("first", F.floor((F.col("key") - F.col("low")) / F.col("step")).alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
         upto = counted.withColumn("upto", F.sum("bytes").over(Window.partitionBy("first").orderBy("bin")))
-        goals = F.broadcast(spark.createDataFrame([(f, float(s["goal"] - s["below"])) for f, s in state.items()], "first long, goal double"))
+        goals = _local(spark, [(f, float(s["goal"] - s["below"])) for f, s in state.items()], ("first", "goal"))
         reached = upto.join(goals, "first").groupBy("first").agg(F.min(F.when(F.col("upto") >= F.col("goal"), F.struct("bin", "upto", "bytes", "n"))).alias("hit"), F.max(F.struct("bin", "upto", "bytes", "n")).alias("last")).collect()
         steps = {f: step for f, _, _, _, step in open_}
         for r in reached:
@@ -110,7 +116,7 @@ def _cuts(rows: DataFrame, keys: Column, n_dims: int) -> DataFrame | None:
         # The row on the cut goes to the side that ends nearer to its share.
         nearer = s["goal"] - s["below"] < s["own"] / 2
         cuts.append((f, s["dim"], s["low"] - 1 if nearer else s.get("end", s["high"])))
-    return spark.createDataFrame(cuts, "first long, dim int, cut long")
+    return _local(spark, cuts, ("first", "dim", "cut"))
 
 
 def _slots(rows: DataFrame, id_col: str) -> DataFrame:
