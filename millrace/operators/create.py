@@ -10,7 +10,7 @@ from millrace.operators.columns import numeric_columns, numeric_or
 from millrace.operators.transform import _add
 from millrace.plans.lookup import attach
 from millrace.plans.quantiles import column_quantiles, number
-from millrace.plans.sizing import keep, spread
+from millrace.plans.sizing import keep
 from millrace.plans.spec import step
 
 _PAIR = {
@@ -144,7 +144,7 @@ def text_features(df, learned):
     """Character, word and sentence counts of text columns; a missing text counts as the text 'nan'."""
     features = learned.get("features") or TEXT_FEATURES
     plain = {f"_plain_{c}": plain_spaces(F.coalesce(F.col(c).cast("string"), F.lit("nan"))) for c in learned["columns"]}
-    df = (df if df.isStreaming else spread(df)).withColumns(plain)
+    df = df.withColumns(plain)
     new = {}
     for c in learned["columns"]:
         text = F.col(f"_plain_{c}")
@@ -176,7 +176,8 @@ def _fit_bins(df, columns, bins=5, strategy="uniform", one_hot=False):
         row = df.agg(*[f(number(c)).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("a", F.min), ("b", F.max))]).first()
         for i, c in enumerate(cols):
             a, b, k = row[f"a{i}"], row[f"b{i}"], count(c)
-            edges[c] = [a + (b - a) * j / k for j in range(k)] + [b] if a is not None else []
+            # A constant column has one bin.
+            edges[c] = [] if a is None else [a, b] if a == b else [a + (b - a) * j / k for j in range(k)] + [b]
     elif strategy == "quantile":
         for c in cols:
             q = column_quantiles(df, [c], [j / count(c) for j in range(count(c) + 1)])[c]

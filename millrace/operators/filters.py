@@ -58,7 +58,7 @@ def sample_stratified(df: DataFrame, n, key, strata, seed=42):
     share = keep(share.withColumn("_base", F.floor("_exact")))
     left = min(n, total) - (share.agg(F.sum("_base")).first()[0] or 0)
     extra = share.orderBy((F.col("_base") - F.col("_exact")), *groups).limit(int(left)).select(*groups).withColumn("_extra", F.lit(1))
-    quota = share.join(extra, groups, "left").select(*groups, (F.col("_base") + F.coalesce("_extra", F.lit(0))).alias("_quota"))
+    quota = attach(share, keep(extra), groups, ["_extra"]).select(*groups, (F.col("_base") + F.coalesce("_extra", F.lit(0))).alias("_quota"))
     return flag_quota(df, keys, keep(quota), groups, seed).where("_picked").drop("_picked")
 
 

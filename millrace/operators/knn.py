@@ -197,9 +197,12 @@ def local_outlier_factor(df: DataFrame, columns, n_neighbors=20, contamination="
         cut = 1.5
     else:
         ranked = prefix_sum(table.where(F.col(scores).isNotNull()).groupBy(scores).agg(F.sum("n").alias("m")), F.col("m"), [scores])
+        # The interpolated quantile of the scores of all rows.
         at = (F.col("_total") - 1) * (1 - contamination)
-        lo = ranked.where((F.col("_before") <= at) & (at < F.col("_before") + F.col("m") + 1)).agg(F.min(scores)).first()
-        cut = lo[0]
+        covers = lambda place: (F.col("_before") <= place) & (place < F.col("_before") + F.col("m"))
+        next_ = F.least(F.floor(at) + 1, F.col("_total") - 1)
+        lo, hi, part = ranked.agg(F.min(F.when(covers(F.floor(at)), F.col(scores))), F.min(F.when(covers(next_), F.col(scores))), F.max(at - F.floor(at))).first()
+        cut = None if lo is None else lo + (hi - lo) * part
     keyed = df.withColumns({f"_k_{c}": number(c) for c in cols})
     small = table.select(*[F.col(c).alias(f"_k_{c}") for c in cols], "n", scores)
     out = attach(keyed, keep(small, "lof"), [f"_k_{c}" for c in cols], [scores], weight="n").drop(*[f"_k_{c}" for c in cols])

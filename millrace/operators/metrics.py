@@ -144,8 +144,10 @@ def best_threshold(df: DataFrame, actual, score, positive=1):
 
 
 def log_loss(df: DataFrame, actual, score, positive=1, eps=1e-15):
+    """Mean negative log likelihood of a binary target; rows without target or score are left out."""
     p = F.least(F.greatest(number(score), F.lit(eps)), F.lit(1 - eps))
-    return df.agg(F.avg(-F.ln(F.when(F.col(actual) == F.lit(positive), p).otherwise(1 - p))).alias("log_loss"))
+    known = df.where(F.col(actual).isNotNull() & number(score).isNotNull())
+    return known.agg(F.avg(-F.ln(F.when(F.col(actual) == F.lit(positive), p).otherwise(1 - p))).alias("log_loss"))
 
 
 def regression_metrics(df: DataFrame, actual, predicted):

@@ -73,7 +73,10 @@ def fill_mode(df, learned):
 
 @step("fill_constant")
 def fill_constant(df, learned):
-    """Fill with one value; columns whose type does not fit the value are an error."""
+    """Fill with one value; columns whose type does not fit the value are an error.
+
+    Integer columns become double when the value is no integer.
+    """
     value = learned["value"]
     cols = learned.get("columns") or df.columns
     numeric = numeric_columns(df)
@@ -83,6 +86,9 @@ def fill_constant(df, learned):
             raise ValueError(f"{value!r} does not fit {bad}")
     elif any(c in numeric for c in cols):
         raise ValueError(f"{value!r} does not fit numeric columns")
+    if isinstance(value, float) and not value.is_integer():
+        whole = [c for c in cols if isinstance(df.schema[c].dataType, T.IntegralType)]
+        df = replace_columns(df, {c: F.col(c).cast("double") for c in whole})
     return df.na.fill(value, subset=list(cols))
 
 

@@ -10,7 +10,6 @@ from millrace.operators.columns import numeric_or, replace_columns
 from millrace.operators.scale import log_of
 from millrace.plans.ordered import number_rows
 from millrace.plans.quantiles import column_quantiles, number
-from millrace.plans.sizing import spread
 from millrace.plans.spec import fit_transform, step
 
 
@@ -54,7 +53,7 @@ def likelihood_lambda(df: DataFrame, columns, family="yeo-johnson", shifts=None,
     shifts = shifts or {}
     spans = {c: (low, high) for c in columns}
     best = {}
-    df = spread(df.select(*columns))
+    df = df.select(*columns)
     for _ in range(rounds):
         j = F.col("_j")
         aggs = []

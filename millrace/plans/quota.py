@@ -25,6 +25,8 @@ def quota_thresholds(df: DataFrame, keys, quota, strata=(), seed=0):
     ``quota`` is a Column over ``_rows`` (rows of the stratum) and ``_all`` (rows of the table) or a
     DataFrame with the strata columns and ``_quota``.
     """
+    from millrace.plans.ordered import same_keys
+
     strata = list(strata)
     hashed = df.select(*strata, order_hash(keys, seed).alias("_h")).withColumn("_b", bucket_of(F.col("_h")))
     counts = hashed.groupBy(*strata, "_b").agg(F.count("*").alias("_c"))
@@ -35,13 +37,15 @@ def quota_thresholds(df: DataFrame, keys, quota, strata=(), seed=0):
         F.sum("_c").over(w).alias("_rows"),
     )
     if isinstance(quota, DataFrame):
-        cum = cum.join(quota, strata, "left") if strata else cum.withColumn("_quota", F.lit(quota.first()["_quota"]))
+        own = [F.col(f"l.`{c}`") for c in cum.columns]
+        cum = cum.alias("l").join(quota.alias("q"), same_keys("l", "q", strata), "left").select(*own, "_quota") if strata else cum.withColumn("_quota", F.lit(quota.first()["_quota"]))
     else:
         cum = cum.withColumn("_quota", quota.cast("long"))
     edge = cum.where((F.col("_cum") >= F.col("_quota")) & (F.col("_cum") - F.col("_c") < F.col("_quota"))).select(
         *strata, "_b", (F.col("_quota") - F.col("_cum") + F.col("_c")).alias("_left")
     )
-    joined = hashed.join(edge, [*strata, "_b"])
+    on = [*strata, "_b"]
+    joined = hashed.alias("l").join(edge.alias("e"), same_keys("l", "e", on)).select(*[F.col(f"l.`{c}`") for c in on], "_h", "_left")
     ranked = joined.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy("_h")))
     return ranked.where(F.col("_r") <= F.col("_left")).groupBy(*strata).agg(F.max("_h").alias("_cut"))
 

@@ -24,12 +24,6 @@ def is_small(df: DataFrame) -> bool:
     return estimated_bytes(df) <= limit
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a costly per-row stage when the input has fewer partitions than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def slices(spark: SparkSession) -> int:
     """Number of range slices used when a global order is needed."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -282,3 +282,34 @@ def test_stopwords(table):
 def test_trend_needs_full_windows(table):
     df = table("t int, x double", t=[1, 2, 3], x=[1.0, 2.0, 6.0])
     assert [r[2] for r in rows(timefeat.trend(df, "x", ["t"], 2), "t")] == [None, 1.5, 4.0]
+
+
+def test_null_strata_are_drawn_from(spark):
+    df = spark.range(1000).withColumn("s", F.when(F.col("id") % 2 == 0, "a"))
+    drawn = filters.sample_stratified(df, 100, "id", "s")
+    assert rows(drawn.groupBy("s").count(), "s") == [(None, 50), ("a", 50)]
+    train, test = split.split_data(df, "id", test_size=0.2, stratify="s")[:2]
+    assert train.where("s is null").count() == 400 and test.where("s is null").count() == 100
+
+
+def test_contamination_takes_its_share(table):
+    df = table("x double", x=[float(v) for v in range(9)] + [40.0])
+    out = knn.local_outlier_factor(df, ["x"], n_neighbors=3, contamination=0.1)
+    assert rows(out.where("outlier").select("x"), "x") == [(40.0,)]
+
+
+def test_fraction_into_an_integer_column(table):
+    df = table("k int, x int", k=[1, 2, 3], x=[1, None, 3])
+    assert rows(fit_transform("fill_constant", df, ["x"], value=0.5).select("k", "x"), "k") == [(1, 1.0), (2, 0.5), (3, 3.0)]
+
+
+@pytest.mark.parametrize("strategy", ["uniform", "quantile", "kmeans"])
+def test_constant_column_has_one_bin(table, strategy):
+    df = table("x double", x=[5.0, 5.0, None])
+    assert sorted(map(str, (r["x_bin"] for r in fit_transform("bins", df, ["x"], bins=5, strategy=strategy).collect()))) == ["0", "0", "None"]
+    assert fit_transform("bins", df, ["x"], bins=5, strategy=strategy, one_hot=True).columns == ["x", "x_bin_0"]
+
+
+def test_log_loss_leaves_out_nulls(table):
+    df = table("y int, p double", y=[1, 0, None, 1], p=[0.5, 0.5, 0.9, None])
+    assert metrics.log_loss(df, "y", "p").first()[0] == pytest.approx(math.log(2))
