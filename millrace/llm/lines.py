@@ -9,7 +9,8 @@ within reach has that segment as a substring. Where it can stand follows from th
 segment at the start, the last at the end (else an edit lies before or behind it and another segment is
 untouched), the middle one at most one place off its own. Segment lengths depend on the length of the
 line in steps of STEP, so most lines probe with five substrings. Substrings are compared as 64-bit
-hashes; pairs that meet are verified by a banded bit-parallel edit distance over code points.
+hashes. Of pairs that meet, those that share enough of eight finer pieces are verified by a banded
+bit-parallel edit distance over code points.
 
 A segment that more than CELL_LINES distinct lines share is not paired as it is: two lines that share it
 are within reach only if what is left of them is, so the join is repeated within that group for the rest
@@ -28,6 +29,7 @@ EDITS = 2
 MIN_CHARS, NEAR_CHARS = 10, 30
 STEP = 16
 CELL_LINES = 50
+PIECES = 8
 #: Rows of a side that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -37,67 +39,70 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, line, h1, h2): the lines that may go; the two hashes stand for the line."""
+    """(id, pos, line, chars, h1, h2): the lines that may go; the two hashes stand for the line."""
     rows = docs.select(docs[id_col].alias("id"), F.posexplode(F.split(docs[text_col], "\n", -1)).alias("pos", "line"))
-    return rows.where(F.length("line") >= MIN_CHARS).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    return rows.withColumn("chars", F.length("line")).where(F.col("chars") >= MIN_CHARS).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def _keys(line: Column, group: Column) -> tuple[Column, Column]:
-    """Hashes of the segments of a line (struct key, at, size), and of the other substrings it probes."""
-    size = F.length(line)
-    bucket = size - size % STEP
+def _places(chars: Column) -> list[tuple]:
+    """(part, bucket, start, length) of the three segments of a line of so many characters, of the middle
+    substrings one place off, and of all five as the next lower step cuts them (SEGMENTS: the first three).
 
-    def key(part, bucket, at):
-        third = (bucket / 3).cast("int")
-        return F.struct(F.xxhash64(group, F.lit(part), bucket, F.substring(line, at, third)).alias("key"), at.cast("int").alias("at"), third.alias("size"))
-
-    def middle(bucket, shift):
-        return key(2, bucket, (bucket / 3).cast("int") + 1 + shift)
-
-    def ends(bucket):
-        return [key(1, bucket, F.lit(1)), key(3, bucket, size - (bucket / 3).cast("int") + 1)]
+    The lower step matters to a line of up to EDITS characters more than its own step begins with.
+    """
+    found = []
+    bucket = chars - chars % STEP
+    for size in (bucket, bucket - STEP):
+        third = (size / 3).cast("int")
+        found += [(1, size, F.lit(1), third), (3, size, chars - third + 1, third), (2, size, third + 1, third), (2, size, third, third), (2, size, third + 2, third)]
+    return found
 
-    def off(bucket):
-        return [middle(bucket, F.lit(-1)), middle(bucket, F.lit(1))]
 
-    own = F.array(*ends(bucket), middle(bucket, F.lit(0)))
-    # A line up to two characters shorter may be cut by the next lower step.
-    lower = bucket - STEP
-    more = F.when((size % STEP < EDITS) & (lower >= STEP), F.array(*ends(lower), middle(lower, F.lit(0)), *off(lower))).otherwise(F.array().cast(_KEYS))
-    return own.cast(_KEYS), F.concat(F.array(*off(bucket)).cast(_KEYS), more)
+SEGMENTS = 3
 
 
-_KEYS = "array<struct<key: bigint, at: int, size: int>>"
+def _keys(line: Column, chars: Column, group: Column) -> Column:
+    """Hashes of the substrings at _places; null where the lower step does not apply."""
+    hashes = [F.xxhash64(group, F.lit(part), size, F.substring(line, start, length)) for part, size, start, length in _places(chars)]
+    lower = (chars % STEP < EDITS) & (chars >= 2 * STEP)
+    return F.array(*hashes[:5], *[F.when(lower, h) for h in hashes[5:]])
 
 
-def _tagged(line: Column, group: Column) -> Column:
-    """All keys of a line in one array, own says which are its segments."""
+def _keyed(lines: DataFrame, *more: str) -> DataFrame:
+    """Rows (id, pos, chars, number, key) of lines with an array of keys; number is the place in the array."""
+    return lines.select("id", "pos", *more, "chars", F.posexplode("keys").alias("number", "key")).where("key is not null")
 
-    def tag(keys, own):
-        return F.transform(keys, lambda k: F.struct(k["key"].alias("key"), F.lit(own).alias("own"), k["at"].alias("at"), k["size"].alias("cut")))
 
-    own, probes = _keys(line, group)
-    return F.concat(tag(own, True), tag(probes, False))
+def _rest(line: Column, chars: Column, number: Column) -> Column:
+    """The line without the substring of a key."""
+    out = F.lit(None).cast("string")
+    for k, (_, _, start, length) in enumerate(_places(chars)):
+        out = F.when(number == k, F.concat(F.substring(line, F.lit(1), start - 1), F.substring(line, start + length, chars))).otherwise(out)
+    return out
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """Candidates (earlier, later) among rows (id, pos, chars, key, own) that share a key."""
-    x, y = rows.where("own").alias("x"), rows.alias("y")
+    """Candidates (earlier, later) among rows (id, pos, chars, number, key) that share a key, a segment of either."""
+    x, y = rows.where(F.col("number") < SEGMENTS).alias("x"), rows.alias("y")
     near = (F.col("y.chars") - F.col("x.chars")).between(0, EDITS)
     a, b = F.struct("x.id", "x.pos"), F.struct("y.id", "y.pos")
     return x.join(y, (F.col("x.key") == F.col("y.key")) & near & (a != b)).select(F.least(a, b).alias("earlier"), F.greatest(a, b).alias("later")).distinct()
 
 
+def let(value: Column, body) -> Column:
+    """A name for a value that is used several times: the only element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def within_edits(left: Column, right: Column, k: int = EDITS) -> Column:
     """True if two strings are within k edits: a band of 2k + 1 diagonals, one bit each, in a 64-bit word."""
-    p, t = (F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)) for s in (left, right))
     m, n = F.length(left), F.length(right)
     mask = (1 << (2 * k + 1)) - 1
 
     def long(x):
         return F.lit(x).cast("long")
 
-    def match(j):
+    def match(p, t, j):
         char = F.get(t, j - 1)
         bits = [F.when(F.get(p, j - k + b - 1) == char, long(1 << b)).otherwise(long(0)) for b in range(2 * k + 1)]
         found = bits[0]
@@ -105,9 +110,8 @@ def within_edits(left: Column, right: Column, k: int = EDITS) -> Column:
             found = found.bitwiseOR(bit)
         return found
 
-    def with_match(s, j):
-        x = match(j)
-        return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["cost"].alias("cost"), x.alias("x"))
+    def with_match(both, s, j):
+        return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["cost"].alias("cost"), match(both["p"], both["t"], j).alias("x"))
 
     def with_diagonal(s):
         vp, x = s["vp"], s["x"]
@@ -123,9 +127,9 @@ def within_edits(left: Column, right: Column, k: int = EDITS) -> Column:
             (s["cost"] + 1 - F.shiftright(d, 2 * k)).cast("long").alias("cost"),
         )
 
-    def let(value, body):
-        # A name for a value that is used several times: the only element of an array.
-        return F.element_at(F.transform(F.array(value), body), 1)
+    def step(both):
+        # The cost of the lowest diagonal never falls, and the end of the strings is at most 2k rows above it.
+        return lambda s, j: F.when(s["cost"] > 3 * k, s).otherwise(let(let(with_match(both, s, j), with_diagonal), moved))
 
     start = F.struct(long(((1 << (k + 1)) - 1) << k).alias("vp"), long(0).alias("vn"), long(k).alias("cost"))
     steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
@@ -137,16 +141,24 @@ def within_edits(left: Column, right: Column, k: int = EDITS) -> Column:
             beyond = F.when(m - n == gap, long(((1 << (2 * k)) - 1) & ~((1 << (gap + k)) - 1))).otherwise(beyond)
         return s["cost"] - F.bit_count(s["vp"].bitwiseAND(beyond)) + F.bit_count(s["vn"].bitwiseAND(beyond)) <= k
 
-    walked = F.aggregate(steps, start, lambda s, j: let(let(with_match(s, j), with_diagonal), moved), rest)
-    return (F.abs(m - n) <= k) & walked
+    p, t = (F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)) for s in (left, right))
+    walked = let(F.struct(p.alias("p"), t.alias("t")), lambda both: F.aggregate(steps, start, step(both), rest))
+    return F.when(F.abs(m - n) <= k, walked).otherwise(False)
+
+
+def shares_pieces(left: Column, right: Column, k: int = EDITS) -> Column:
+    """Whether all but k of PIECES equal pieces of a string stand in the other: k edits touch k pieces at most."""
+    size = F.floor(F.length(left) / PIECES).cast("int")
+    found = [F.contains(right, F.substring(left, F.lit(i) * size + 1, size)).cast("int") for i in range(PIECES)]
+    return sum(found[1:], found[0]) >= PIECES - k
 
 
 def near_lines(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos) of the distinct lines that lie within reach of an earlier one. first: table of first occurrences."""
-    keyed = first.where("keys is not null").select("id", "pos", "chars", F.explode("keys").alias("k")).select("id", "pos", "chars", "k.*")
+    keyed = _keyed(first.where("keys is not null"))
     found, rests = [], None
     while True:
-        sizes = table(keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any").select("key", "n"))
+        sizes = table(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("number").alias("least")).where(f"n > 1 and least < {SEGMENTS}").select("key", "n"))
         rows = sizes.agg(F.count("*"), F.count(F.when(F.col("n") > CELL_LINES, 1))).first()
         met = table(keyed.join(_small(sizes, rows[0]), "key"))
         # What is left of a line may be too short to be cut again; it is paired as it is.
@@ -159,11 +171,11 @@ def near_lines(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) ->
         if rests is None:
             joined = _fetch(docs, hot.select("id", "pos").distinct(), id_col, text_col).join(hot, ["id", "pos"])
         else:
-            joined = hot.join(rests, ["id", "pos", "group"])
-        rest = F.concat(F.expr("substring(line, 1, at - 1)"), F.expr("substring(line, at + cut)"))
-        rests = table(joined.select("id", "pos", rest.alias("line"), F.col("key").alias("group")).distinct())
-        keys = F.explode(_tagged(F.col("line"), F.col("group"))).alias("k")
-        keyed = rests.select("id", "pos", "group", F.length("line").alias("chars"), keys).select("id", "pos", "group", "chars", "k.*")
+            joined = hot.join(rests.select("id", "pos", "group", "line"), ["id", "pos", "group"])
+        rest = _rest(F.col("line"), F.col("chars"), F.col("number")).alias("line")
+        rests = joined.select("id", "pos", rest, F.col("key").alias("group")).distinct().withColumn("chars", F.length("line"))
+        rests = table(rests.withColumn("keys", _keys(F.col("line"), F.col("chars"), F.col("group"))))
+        keyed = _keyed(rests, "group")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
@@ -184,20 +196,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) ->
     lines = table(_fetch(docs, places, id_col, text_col)).select(F.struct("id", "pos").alias("place"), "line")
     met = pairs.join(lines.select(F.col("place").alias("earlier"), F.col("line").alias("a")), "earlier")
     met = met.join(lines.select(F.col("place").alias("later"), F.col("line").alias("b")), "later")
+    # Few rows with much work each: spread them whatever their bytes.
+    met = met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "earlier", "later")
+    met = met.where(shares_pieces(F.col("a"), F.col("b")))
     return met.where(within_edits(F.col("a"), F.col("b"))).select("later.*").distinct()
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, dropped array<int>): the line numbers, from 0, that go from each document that loses any."""
     rows = _line_rows(docs, id_col, text_col)
-    keys = F.when(F.length("line") >= NEAR_CHARS, _tagged(F.col("line"), F.lit(0).cast("long")))
-    held = rows.select("h1", "h2", F.struct("id", "pos", F.length("line").alias("chars"), keys.alias("keys")).alias("x"))
+    keys = F.when(F.col("chars") >= NEAR_CHARS, _keys(F.col("line"), F.col("chars"), F.lit(0)))
+    held = rows.select("h1", "h2", F.struct("id", "pos", "chars", keys.alias("keys")).alias("x"))
     first = table(held.groupBy("h1", "h2").agg(F.min("x").alias("x"), F.count("*").alias("n")).select("h1", "h2", "n", "x.*"))
     near = table(near_lines(docs, first, id_col, text_col))
     near_rows = near.count()
     flagged = first.join(_small(near.withColumn("near", F.lit(True)), near_rows), ["id", "pos"], "left").where("n > 1 or near")
     gone = table(flagged.select("h1", "h2", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"), F.coalesce("near", F.lit(False)).alias("near")))
-    met = rows.drop("line").join(_small(gone, gone.count()), ["h1", "h2"])
+    met = rows.select("id", "pos", "h1", "h2").join(_small(gone, gone.count()), ["h1", "h2"])
     # Null ids are equal to each other here: such rows count as one document.
     later = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos")))
     return met.where(F.col("near") | later).groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
@@ -215,7 +230,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = table(dropped_lines(docs, id_col, text_col).select(F.col("id").alias("gone_id"), "dropped"))
     met = source.join(_small(gone, gone.count()), source[id_col].eqNullSafe(F.col("gone_id")), "left")
     lines = F.split(text_col, "\n", -1)
-    kept = F.filter(lines, lambda _, at: ~F.array_contains("dropped", at))
+    kept = let(lines, lambda held: F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.col("dropped")), lambda at: F.get(held, at)))
     text = F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     counted = met.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_dropped": F.coalesce(F.size("dropped"), F.lit(0))})
     counted = counted.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")))
