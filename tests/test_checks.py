@@ -40,3 +40,20 @@ def test_large_plan(spark, duck, large_plans, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
+
+
+def test_vectors_have_all_values(spark):
+    import numpy as np
+
+    from checks.modelling import _E, vectors
+
+    held = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = vectors(spark, SF).collect()
+    assert len(_E) == 64 and all([r[e] for e in _E] == [float(x) for x in held[r["vec_id"]]] for r in got)
+    # The distance to the assigned centre is least over all 64 values, not over a prefix.
+    out = entry.queries()["c4_kmeans"](spark, SF).toPandas()
+    cluster = [c for c in out.columns if c not in ("vec_id", "label", *_E)][0]
+    x = out[_E].to_numpy()
+    centres = np.array([x[out[cluster] == k].mean(0) for k in sorted(out[cluster].unique())])
+    nearest = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    assert (np.array(sorted(out[cluster].unique()))[nearest] == out[cluster]).mean() > 0.95
