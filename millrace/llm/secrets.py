@@ -1,8 +1,9 @@
 """Secrets in texts: fixed patterns, and strings that a tokenizer's vocabulary does not know.
 
 Words of any language fall into few tokens of a byte-level BPE vocabulary; random strings do not. A
-run of key characters with few characters per token is reported, unless it is a known digest, an
-identifier, or a plain word.
+run of key characters with few characters per token is reported, unless it is a known digest or UUID,
+a number, or made of single-case parts that the vocabulary knows: these look like words, so they must
+be longer, or fall into more tokens, than other runs.
 """
 
 from __future__ import annotations
@@ -28,17 +29,31 @@ KINDS = ("assign", "access", "hex", "random")
 #: Lengths in hexadecimal digits of the usual digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 RUN = r"[A-Za-z0-9+/_=-]{%d,}"
+#: A run of single-case parts is a key at SINGLE_LENGTH letters and digits, a shorter one below SINGLE_RATIO characters
+#: a token; with fewer than SINGLE_LETTERS letters it is a number with a prefix.
+SINGLE_LENGTH, SINGLE_RATIO, SINGLE_LETTERS = 20, 1.5, 8
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 _assign, _access, _hex = re.compile(ASSIGN, re.ASCII | re.IGNORECASE), re.compile(ACCESS), re.compile(HEX)
 _word = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*|[0-9]*")
 
 
-def is_known(run: str) -> bool:
-    """Digests, UUIDs, and identifiers or paths whose parts are plain words or plain numbers."""
+def is_known(run: str, tokens, chars_per_token: float = 2.0) -> bool:
+    """Digests, UUIDs, numbers, and identifiers or paths whose parts are words that the vocabulary knows well.
+
+    tokens(text): the count of tokens. Capitals count as known where their small letters are.
+    """
     if UUID.fullmatch(run) or (len(run) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run)):
         return True
-    return all(_word.fullmatch(part) for part in re.split(r"[-_/+=]+", run))
+    parts = re.split(r"[-_/+=]+", run)
+    if not all(_word.fullmatch(part) for part in parts):
+        return False
+    words = [part for part in parts if part.isalpha()]
+    letters = sum(map(len, words))
+    if letters < SINGLE_LETTERS:
+        return True
+    ratio = chars_per_token if sum(map(len, parts)) >= SINGLE_LENGTH else min(SINGLE_RATIO, chars_per_token)
+    return letters > ratio * sum(min(tokens(w), tokens(w.lower())) for w in words)
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -70,14 +85,17 @@ def find_secrets(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         runs = re.compile(run_pattern)
         order = {kind: k for k, kind in enumerate(KINDS)}
 
+        def tokens(text):
+            return len(coder.encode_ordinary(text))
+
         def spans(text):
             found = base_spans(text)
             covered = sorted((start, end) for start, _, end in found)
             for m in runs.finditer(text):
                 start, end = m.span()
-                if any(s < end and start < e for s, e in covered) or is_known(m[0]):
+                if any(s < end and start < e for s, e in covered):
                     continue
-                if end - start <= chars_per_token * len(coder.encode_ordinary(m[0])):
+                if end - start <= chars_per_token * tokens(m[0]) and not is_known(m[0], tokens, chars_per_token):
                     found.append((start, "random", end))
             found.sort(key=lambda x: (x[0], order[x[1]], x[2]))
             return [{"kind": kind, "start": start, "end": end} for start, kind, end in found]

@@ -59,3 +59,12 @@ def test_hard_rows(spark):
     assert scan(no_rows(spark)).count() == 0
     late = LONG + " password=abcdefghij"
     assert scan(texts(spark, [(1, late)])).first()["spans"][0]["end"] == len(late)
+
+
+def test_single_case_keys_are_reported(spark):
+    keys = ["qzjxkvbwmpfhgtrdlcsnyqxz", "QZJXKVBWMPFHGTRDLCSNYQXZ", "qzjx-kvbw-mpfh-gtrd-lcsn", "QZJX_4821_VKWB_9937_MPFH"]
+    known = ["get_user_name_by_customer_id", "MAX_BATCH_SIZE_LIMIT_VALUE", "einiekeitgeentzber", "5927243074273351", "4504-9950-3869-3466-1187"]
+    rows = [(k, f"see {x} there") for k, x in enumerate(keys + known)]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in scan(texts(spark, rows)).collect()}
+    for k, x in enumerate(keys + known):
+        assert got[k] == ([("random", 4, 4 + len(x))] if x in keys else []), x
