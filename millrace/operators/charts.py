@@ -20,18 +20,17 @@ def ecdf(df: DataFrame, column):
     return prefix_sum(counts, F.col("n"), ["value"]).select("value", ((F.col("_before") + F.col("n")) / F.col("_total")).alias("share"))
 
 
-def density(df: DataFrame, column, points=200, fine_bins=4096, group_by=()):
-    """Gaussian kernel density on a grid, Scott bandwidth, from finely binned counts."""
+def density(df: DataFrame, column, points=200, group_by=()):
+    """Gaussian kernel density on a grid, Scott bandwidth, from every distinct value and its count."""
     groups = list(group_by)
     lo, hi = value_range(df, [column])[column]
-    width = (hi - lo) / fine_bins or 1.0
     v = number(column)
     stats = keep(df.where(v.isNotNull()).groupBy(*groups).agg(F.count(v).alias("_N"), F.stddev(v).alias("_sd")), "stats")
-    binned = df.where(v.isNotNull()).groupBy(*groups, bin_index(v, lo, width, fine_bins).alias("b")).agg(F.count("*").alias("n"), F.avg(v).alias("m"))
-    binned = attach(binned, stats, groups, ["_N", "_sd"]) if groups else binned.withColumns(dict(zip(("_N", "_sd"), map(F.lit, stats.first()))))
+    counts = df.where(v.isNotNull()).groupBy(*groups, v.alias("m")).agg(F.count("*").alias("n"))
+    counts = attach(counts, stats, groups, ["_N", "_sd"]) if groups else counts.withColumns(dict(zip(("_N", "_sd"), map(F.lit, stats.first()))))
     h = F.col("_sd") * F.pow(F.col("_N").cast("double"), F.lit(-0.2))
     step = (hi - lo) / (points - 1)
-    grid = binned.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    grid = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     x = F.lit(lo) + F.col("point") * F.lit(step)
     z = (x - F.col("m")) / h
     term = F.col("n") * F.exp(-0.5 * z * z) / (F.col("_N") * h * math.sqrt(2 * math.pi))

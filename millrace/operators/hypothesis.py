@@ -186,22 +186,18 @@ def dagostino(n, g1, g2):
 # Cumulative probabilities of a Poisson count with mean 1, for counts 0 to 9.
 POISSON_CUMULATIVE = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317,
                       0.99940581518, 0.99991675885, 0.99998980337, 0.99999887448, 0.99999988857)
-_BOOT_BLOCKS = 8192
 
 
 def bootstrap_ci(df: DataFrame, column, key, statistic="mean", n_bootstrap=1000, ci=0.95, seed=42, denominator=None):
     """Percentile interval of mean, sum, std or ratio under Poisson resampling.
 
-    Rows are hashed into blocks that are resampled as units, so the cost after the first pass does
-    not grow with the table; with fewer rows than blocks this is row resampling. A callable
-    statistic gets the weighted sums (sum, square, denominator, count) and returns a Column.
+    Every row gets a weight of its own in every replicate, at any size, in one partially aggregated
+    pass; the cost is rows times replicates. Rows of one key share their weights. A callable statistic gets the weighted sums (sum, square, denominator, count) and returns a Column.
     """
     keys = [key] if isinstance(key, str) else list(key)
     v, d = number(column), (number(denominator) if denominator else F.lit(1.0))
-    blocks = df.where(v.isNotNull()).groupBy(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(_BOOT_BLOCKS)).alias("_b")).agg(
-        F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.sum(d).alias("d"), F.count("*").alias("c"))
-    blocks = keep(blocks, "blocks")
-    draws = blocks.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("_i"))
+    rows = df.where(v.isNotNull()).select(F.xxhash64(F.lit(seed), *keys).alias("_b"), v.alias("s"), (v * v).alias("q"), d.alias("d"), F.lit(1).alias("c"))
+    draws = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("_i"))
     u = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_b"), F.col("_i")), F.lit(2**52)) / F.lit(float(2**52))
     weight = F.lit(0)
     for p in POISSON_CUMULATIVE:

@@ -32,14 +32,9 @@ def confusion_matrix(df: DataFrame, actual, predicted, normalize=False):
     return dense.withColumn("share", F.round(F.coalesce(F.try_divide(F.col("count"), total), F.lit(0.0)), 3)).drop("count")
 
 
-def _label_grid(labels, cap=1000):
-    """All label pairs, from a checked number of labels."""
-    values = [r[0] for r in labels.limit(cap + 1).collect()]
-    if len(values) > cap:
-        raise ValueError(f"more than {cap} labels; use confusion_counts")
-    field = labels.schema[0].dataType
-    both = F.array(*[F.lit(v).cast(field) for v in values])
-    return labels.sparkSession.range(1).select(F.explode(both).alias("actual")).select("actual", F.explode(both).alias("predicted"))
+def _label_grid(labels):
+    """All label pairs."""
+    return labels.select(F.col("l").alias("actual")).crossJoin(labels.select(F.col("l").alias("predicted")))
 
 
 def _class_table(counts):

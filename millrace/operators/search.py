@@ -1,6 +1,7 @@
 """Cross-validation, learning curves and parameter search on exact folds."""
 
 import json
+import math
 import random
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
@@ -124,15 +125,22 @@ def grid_search(df: DataFrame, target, features, algorithm, key, grid, folds=5,
 
 
 def draw_candidates(space, n_iter, seed=42):
-    """Seeded draws: lists are choices, (low, high) tuples are ranges of their own type."""
-    rng, out, tries = random.Random(seed), [], 0
-    while len(out) < n_iter and tries < 100 * n_iter:
-        tries += 1
+    """``n_iter`` different seeded draws, or all there are: lists are choices, (low, high) tuples are ranges of their own type."""
+    rng, out, size = random.Random(seed), [], 1
+    ints = {name: isinstance(v, tuple) and all(isinstance(x, int) for x in v) for name, v in space.items()}
+    for name, v in space.items():
+        distinct = v[1] - v[0] + 1 if ints[name] else v[0] == v[1] or math.inf if isinstance(v, tuple) else sum(x not in v[:i] for i, x in enumerate(v))
+        size *= distinct
+    if 2 * n_iter > size:  # drawing would meet the same ones again and again
+        every = [list(range(v[0], v[1] + 1)) if ints[n] else v[:1] if isinstance(v, tuple) else [x for i, x in enumerate(v) if x not in v[:i]] for n, v in space.items()]
+        held = [dict(zip(space, p)) for p in product(*every)]
+        return rng.sample(held, min(n_iter, len(held)))
+    while len(out) < n_iter:
         p = {}
         for name, values in space.items():
             if isinstance(values, tuple):
                 lo, hi = values
-                p[name] = rng.randint(lo, hi) if isinstance(lo, int) and isinstance(hi, int) else rng.uniform(lo, hi)
+                p[name] = rng.randint(lo, hi) if ints[name] else rng.uniform(lo, hi)
             else:
                 p[name] = rng.choice(values)
         if p not in out:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import dist
-from millrace.operators import cluster, corr, filters, hypothesis, knn, metrics, models, outliers, reduce, schema, select, split, timefeat, transform
+from millrace.operators import charts, cluster, corr, filters, hypothesis, knn, metrics, models, outliers, reduce, schema, search, select, split, timefeat, transform
 from millrace.operators.missing import handle_missing_values
 from millrace.operators.profile import column_modes, numeric_summary
 from millrace.plans.quantiles import column_quantiles
@@ -313,3 +313,26 @@ def test_constant_column_has_one_bin(table, strategy):
 def test_log_loss_leaves_out_nulls(table):
     df = table("y int, p double", y=[1, 0, None, 1], p=[0.5, 0.5, 0.9, None])
     assert metrics.log_loss(df, "y", "p").first()[0] == pytest.approx(math.log(2))
+
+
+def test_draws_are_as_many_as_there_are():
+    assert {p["a"] for p in search.draw_candidates({"a": [1] * 5000 + [2]}, 2)} == {1, 2}
+    assert len(search.draw_candidates({"a": (1, 4), "b": ["x", "y"]}, 100)) == 8
+    assert len(search.draw_candidates({"a": (0.0, 1.0)}, 50)) == 50
+
+
+def test_no_caps_on_labels_density_and_bootstrap(spark):
+    labels = spark.range(1100).select(F.col("id").alias("actual"), F.col("id").alias("predicted"))
+    grid = metrics.confusion_matrix(labels, "actual", "predicted")
+    assert grid.agg(F.count("*"), F.sum("count")).first()[:] == (1100 * 1100, 1100)
+
+    values = np.concatenate([np.linspace(0, 1, 500), [1e6]])
+    got = charts.density(spark.createDataFrame([(float(v),) for v in values], "x double"), "x", points=20).orderBy("point").toPandas()
+    h = values.std(ddof=1) * len(values) ** -0.2
+    x = np.linspace(0, 1e6, 20)
+    want = np.exp(-0.5 * ((x[:, None] - values[None]) / h) ** 2).sum(1) / (len(values) * h * math.sqrt(2 * math.pi))
+    assert got["density"].to_numpy() == pytest.approx(want, rel=1e-9)
+
+    # Rows have weights of their own: the deviation of their number is the root of it.
+    ci = hypothesis.bootstrap_ci(spark.range(20000).withColumn("v", F.lit(1.0)), "v", "id", lambda s: s["count"], n_bootstrap=200).first()
+    assert 400 < ci["upper"] - ci["lower"] < 750
