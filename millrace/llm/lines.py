@@ -38,6 +38,13 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of the same names; null ids are equal to each other."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) if k == "id" else F.col(k) == F.col(f"_{k}") for k in keys]
+    return left.join(named, same, how).drop(*[f"_{k}" for k in keys])
+
+
 def _line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, line, chars, h1, h2): the lines that may go; the two hashes stand for the line."""
     rows = docs.select(docs[id_col].alias("id"), F.posexplode(F.split(docs[text_col], "\n", -1)).alias("pos", "line"))
@@ -169,9 +176,9 @@ def near_lines(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) ->
             break
         # The rest of the lines of a crowded segment, within the group of that segment.
         if rests is None:
-            joined = _fetch(docs, hot.select("id", "pos").distinct(), id_col, text_col).join(hot, ["id", "pos"])
+            joined = _joined(_fetch(docs, hot.select("id", "pos").distinct(), id_col, text_col), hot, ["id", "pos"])
         else:
-            joined = hot.join(rests.select("id", "pos", "group", "line"), ["id", "pos", "group"])
+            joined = _joined(hot, rests.select("id", "pos", "group", "line"), ["id", "pos", "group"])
         rest = _rest(F.col("line"), F.col("chars"), F.col("number")).alias("line")
         rests = joined.select("id", "pos", rest, F.col("key").alias("group")).distinct().withColumn("chars", F.length("line"))
         rests = table(rests.withColumn("keys", _keys(F.col("line"), F.col("chars"), F.col("group"))))
@@ -186,7 +193,7 @@ def near_lines(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) ->
 def _fetch(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, line) of places (id, pos) of documents."""
     wanted = table(places.groupBy("id").agg(F.collect_list("pos").alias("wanted")))
-    held = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(_small(wanted, wanted.count()), "id")
+    held = _joined(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), _small(wanted, wanted.count()), ["id"])
     lines = held.select("id", F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("pos"))
     return lines.select("id", "pos", F.get("lines", F.col("pos")).alias("line")).distinct()
 
@@ -210,7 +217,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = table(held.groupBy("h1", "h2").agg(F.min("x").alias("x"), F.count("*").alias("n")).select("h1", "h2", "n", "x.*"))
     near = table(near_lines(docs, first, id_col, text_col))
     near_rows = near.count()
-    flagged = first.join(_small(near.withColumn("near", F.lit(True)), near_rows), ["id", "pos"], "left").where("n > 1 or near")
+    flagged = _joined(first, _small(near.withColumn("near", F.lit(True)), near_rows), ["id", "pos"], "left").where("n > 1 or near")
     gone = table(flagged.select("h1", "h2", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"), F.coalesce("near", F.lit(False)).alias("near")))
     met = rows.select("id", "pos", "h1", "h2").join(_small(gone, gone.count()), ["h1", "h2"])
     # Null ids are equal to each other here: such rows count as one document.

@@ -46,16 +46,18 @@ class Index:
         up, down = np.maximum(weights, 0).sum(axis=1), np.minimum(weights, 0).sum(axis=1)
         itself = np.flatnonzero(own >= 0)
         rows, found = np.arange(len(queries)), []
-        top = min(k, n - 1) if len(itself) else min(k, n)
+        # A query that is itself a candidate has one candidate less than the others.
+        tops = np.minimum(k, n - (own >= 0))
         for number, (impact, digit) in enumerate(self.segments):
             seen += (weights[rows] * impact) @ digit.T
             masked = itself[np.isin(itself, rows)]
             seen[np.searchsorted(rows, masked), own[masked]] = -np.inf
             rest = float(impact - 1)
-            if top <= 0:
-                return found
             low = seen + rest * down[rows, None]
-            least = np.partition(low, n - top, axis=1)[:, n - top]
+            least = np.empty(len(rows))
+            for top in np.unique(tops[rows]):
+                same = tops[rows] == top
+                least[same] = np.partition(low[same], n - top, axis=1)[:, n - top] if top > 0 else np.inf
             possible = seen + rest * up[rows, None] >= least[:, None]
             last = number + 1 == len(self.segments)
             done = np.ones(len(rows), bool) if last else possible.sum(axis=1) <= 4 * k

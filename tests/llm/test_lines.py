@@ -103,3 +103,10 @@ def test_hard_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = lines.dedup_lines(texts(spark, [(1, "a line that is long enough to be near another")]))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_near_copies_of_a_null_id_go(spark):
+    line = "the quick brown fox jumps over the lazy dog again and again"
+    rows = [(None, "first line here of its own\n" + line), (5, line[:20] + "#" + line[20:]), (6, line.replace("lazy", "lady"))]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(texts(spark, rows)).collect()}
+    assert got == {None: 0, 5: 1, 6: 1}

@@ -59,3 +59,13 @@ def test_hard_rows(spark):
     assert got == {(20, 1, 6, 64 * 64 + 32 * 64), (20, 2, 7, -64 * 64 - 32 * 64)}
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id = 20"), df.where("vec_id = 20")).count() == 0
+
+
+def test_a_query_in_a_block_leaves_the_others_all_candidates():
+    vectors = np.arange(12, dtype=np.int64).reshape(6, 2)
+    queries = np.array([[1, 1], [2, -1]], dtype=np.int64)
+    # The first query is candidate 3, the second one is from elsewhere; all six and k = 6.
+    hits = topk.Index(vectors).search(queries, np.array([3, -1]), 6)
+    got = {(q, c) for rows, what, _ in hits for q, c in zip(rows.tolist(), what.tolist(), strict=True)}
+    assert got == {(0, c) for c in range(6) if c != 3} | {(1, c) for c in range(6)}
+    assert topk.Index(vectors[:1]).search(queries[:1], np.array([0]), 6) == []
