@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, decontam, html, lines, negatives, quality, secrets, shards, simhash, topk, toxicity
+from millrace.llm import ann, bpe, collocations, decontam, html, lines, negatives, quality, secrets, shards, simhash, topk, toxicity
 from millrace.llm.common import load
 
 
@@ -68,6 +68,10 @@ def op10_top_k(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark, sf_dir):
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = load(spark, sf_dir, "embeddings").withColumn("label", moved)
@@ -79,7 +83,7 @@ def op13_nearest(spark, sf_dir):
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_html_extraction, op4_quality_classifier, op5_kd_sharding, op6_line_dedup, op7_byte_bpe, op8_toxicity, op9_benchmark_decontamination, op10_top_k, op12_hard_negatives, op13_nearest)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_html_extraction, op4_quality_classifier, op5_kd_sharding, op6_line_dedup, op7_byte_bpe, op8_toxicity, op9_benchmark_decontamination, op10_top_k, op11_collocations, op12_hard_negatives, op13_nearest)}
 
 #: SQL for DuckDB over the given tables.
 ORACLES: dict[str, str] = {
@@ -108,6 +112,30 @@ ORACLES: dict[str, str] = {
             FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op11_collocations": """
+        WITH pieces AS (
+            SELECT doc_id, coalesce(lang, 'und') AS lang, generate_subscripts(cut, 1) AS piece, unnest(cut) AS body FROM (
+                SELECT doc_id, lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS cut FROM documents)),
+        words AS (SELECT lang, doc_id, piece, unnest(held) AS w, generate_subscripts(held, 1) AS pos FROM (SELECT *, list_filter(regexp_split_to_array(body, '[ \t]+'), lambda x: x <> '') AS held FROM pieces)),
+        near AS (SELECT lang, w, lead(w) OVER later AS w2, lead(w, 2) OVER later AS w3 FROM words WINDOW later AS (PARTITION BY doc_id, piece ORDER BY pos)),
+        totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+        f AS (
+            SELECT lang, w AS phrase, 1 AS size, count(*) AS c FROM near GROUP BY lang, w
+            UNION ALL SELECT lang, w || ' ' || w2, 2, count(*) FROM near WHERE w2 IS NOT NULL GROUP BY lang, w, w2
+            UNION ALL SELECT lang, w || ' ' || w2 || ' ' || w3, 3, count(*) FROM near WHERE w3 IS NOT NULL GROUP BY lang, w, w2, w3),
+        candidates AS (SELECT lang, phrase, size, c AS a, string_split(phrase, ' ') AS p FROM f WHERE size > 1 AND c >= 10),
+        longer AS (
+            SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([p[1] || ' ' || p[2], p[2] || ' ' || p[3]]) AS part FROM candidates WHERE size = 3) GROUP BY lang, part),
+        kept AS (
+            SELECT c.* FROM candidates c LEFT JOIN longer o ON c.size = 2 AND o.lang = c.lang AND o.part = c.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * c.a),
+        cuts AS (
+            SELECT *, 1 AS k, p[1] AS lp, array_to_string(p[2:], ' ') AS rp FROM kept UNION ALL SELECT *, 2, p[1] || ' ' || p[2], p[3] FROM kept WHERE size = 3),
+        scored AS (
+            SELECT cuts.*, x.c AS l, y.c AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.c AS HUGEINT) * y.c) AS BIGINT) AS score
+            FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM lowest)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
     "op12_hard_negatives": """
         WITH whole AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
