@@ -1,16 +1,19 @@
 """Phrase collocations, counted with broadcast double-array tries.
 
-Texts become words with numpy: a table of byte classes finds their ends, Arrow numbers the distinct ones.
+Texts become words once: numpy finds their ends by a table of byte classes, Arrow numbers the distinct ones, and
+a table keeps one row per block of texts, with its words as numbers. All further passes read that table.
+
 Level by level, as Apriori does, a phrase of k words stays a candidate only if its parts of k - 1 words are
 frequent. What is frequent is bounded from above first: words, then phrases of two frequent words, and so on,
 are counted by a 64-bit hash, so that phrases which collide only seem more frequent. The hashes that reach the
-least count are kept as a bitmap of fixed size, by which the next level is filtered; false hits only add candidates.
-
-The candidates that the corpus holds are then dealt out to shards of about TRIE_PHRASES phrases, and a task
-builds one double-array trie per shard, over languages and words written in two digits. Each trie is broadcast
-in turn. A task starts a state at every word of a block of texts and advances all of them at once, digit by
-digit; states without a child drop out. The states that accept a candidate are counted by bincount, and the
-counts of the tasks are summed. These counts are exact; the hashes above decide nothing but what is looked for.
+least count are kept as a bitmap of fixed size, by which the next level is filtered; false hits only add
+candidates. Every frequent hash remembers one block that holds it, and that block spells the phrase out.
+
+The candidates are dealt out to shards of about TRIE_PHRASES phrases, and a task builds one double-array trie
+per shard, over languages and words written in two digits. Each trie is broadcast in turn. A task starts a state
+at every word of a block and advances all of them at once, digit by digit; states without a child drop out. The
+states that accept a candidate are counted by bincount, and the counts of the tasks are summed. These counts are
+exact. Where a hash was seen more often than its phrase, others share it: they are spelled out by all blocks and counted too.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +32,7 @@ from millrace.llm.common import blocks, table
 
 WORDS = 3
 #: Phrases of a trie, of which a task holds one; more phrases make more tries.
-TRIE_PHRASES = 500_000
+TRIE_PHRASES = 250_000
 #: Bits of the bitmap of frequent hashes that is sent to the tasks (16 MB), whatever the size of the corpus.
 BITMAP = 27
 #: Distinct hashes that a task holds before it passes them on.
@@ -69,10 +73,6 @@ class Words:
         self.joined[:-1] = piece[1:] == piece[:-1]
         self.text = np.searchsorted(ends[:-1] - ends[0] + np.arange(len(texts)), starts, side="right") - 1
 
-    def hashes(self) -> np.ndarray:
-        digest = xxhash.xxh64_intdigest
-        return np.array([digest(x) for x in self.names.cast(pa.large_binary()).to_pylist()], np.uint64)
-
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit mix (the splitmix64 finaliser), so that sums of hashes spread."""
@@ -81,28 +81,77 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Levels:
-    """For a block of texts, the places where a phrase of k words may be frequent, and its hash."""
-
-    def __init__(self, texts: pa.Array, langs: pa.Array, bitmaps: list[np.ndarray]):
-        self.words = Words(texts)
-        self.langs = langs.cast(pa.string()).fill_null("und").dictionary_encode()
-        lang = self.langs.indices.to_numpy(zero_copy_only=False)[self.words.text]
-        of_word = self.words.hashes()[self.words.code]
-        of_lang = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.langs.dictionary.to_pylist()], np.uint64)
-        self.lang = lang
-        at = np.arange(len(of_word))
-        self.found = [(at, mixed(of_lang[lang] + of_word))]
-        for bitmap in bitmaps:
-            at, h = self.found[-1]
-            fit = frequent(bitmap, h)
-            self.found[-1] = at, h = at[fit], h[fit]
-            # Both parts of one word less must be frequent: the one that starts here and the one at the next word.
-            begins = np.zeros(len(of_word) + 1, bool)
-            begins[at] = True
-            fit = self.words.joined[at + len(self.found) - 1] & begins[at + 1]
-            at, h = at[fit], h[fit]
-            self.found.append((at, mixed(h * np.uint64(0x9E3779B97F4A7C15) + of_word[at + len(self.found)])))
+def _stored(values: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("x", values.type)])) as out:
+        out.write_batch(pa.record_batch([values], names=["x"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _read(stored) -> pa.Array:
+    return pa.ipc.open_stream(stored).read_all().column("x").combine_chunks()
+
+
+BLOCK = "block long, names binary, hashes binary, code binary, joined binary, langs binary, lang binary, words binary"
+
+
+def encoded(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """One row per block of texts: `names` its distinct words and their `hashes`; per word a `code` and a bit
+    `joined`; `langs` its languages and, per text, the number of its language in `lang` and its `words`."""
+
+    def run(batches):
+        first = TaskContext.get().partitionId() << 32
+        for number, part in enumerate(blocks(batches, 0)):
+            words, langs = Words(part.column(0)), part.column(1).fill_null("und").dictionary_encode()
+            hashes = np.array([xxhash.xxh64_intdigest(x) for x in words.names.cast(pa.large_binary()).to_pylist()], np.uint64)
+            values = [_stored(words.names), hashes.tobytes(), words.code.astype(np.int32).tobytes(), np.packbits(words.joined).tobytes(), _stored(langs.dictionary)]
+            values += [langs.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), np.bincount(words.text, minlength=part.num_rows).astype(np.int32).tobytes()]
+            yield pa.record_batch([pa.array([first + number]), *[pa.array([v], pa.binary()) for v in values]], names=[c.split()[0] for c in BLOCK.split(", ")])
+
+    texts = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
+    return table(texts.mapInArrow(run, BLOCK))
+
+
+class Block:
+    """A block as read back; `lang` is the number of the language of every word."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        def buffer(name):
+            return batch.column(name)[row].as_buffer()
+
+        self.number = batch.column("block")[row].as_py()
+        self.names, self.langs = _read(buffer("names")), _read(buffer("langs"))
+        self.hashes, self.code = np.frombuffer(buffer("hashes"), np.uint64), np.frombuffer(buffer("code"), np.int32)
+        self.joined = np.unpackbits(np.frombuffer(buffer("joined"), np.uint8), count=len(self.code)).view(bool)
+        self.lang = np.repeat(np.frombuffer(buffer("lang"), np.int32), np.frombuffer(buffer("words"), np.int32))
+
+
+def read_blocks(batches):
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield Block(batch, row)
+
+
+def levels(block: Block, bitmaps: list[np.ndarray], mask: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every level the places in a block where a phrase of so many words may be frequent, and its hash. All
+    levels that have a bitmap are filtered by it; one more follows, of which only the parts are known."""
+    keep = np.uint64(mask)
+    of_word = block.hashes[block.code]
+    of_lang = np.array([xxhash.xxh64_intdigest(x, 1) for x in block.langs.to_pylist()], np.uint64)
+    found = [(np.arange(len(of_word)), mixed(of_lang[block.lang] + of_word) & keep)]
+    for bitmap in bitmaps:
+        at, h = found[-1]
+        fit = frequent(bitmap, h)
+        found[-1] = at, h = at[fit], h[fit]
+        if len(found) == WORDS:
+            break
+        # Both parts of one word less must be frequent: the one that starts here and the one at the next word.
+        begins = np.zeros(len(of_word) + 1, bool)
+        begins[at] = True
+        fit = block.joined[at + len(found) - 1] & begins[at + 1]
+        at, h = at[fit], h[fit]
+        found.append((at, mixed(h * np.uint64(0x9E3779B97F4A7C15) + of_word[at + len(found)]) & keep))
+    return found
 
 
 def frequent(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -110,27 +159,33 @@ def frequent(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def at_block(h: np.ndarray, block) -> np.ndarray:
+    """One hash for a phrase's hash in a block."""
+    return mixed(h ^ mixed(np.asarray(block, np.int64).view(np.uint64) + np.uint64(1)))
+
+
 class Tally:
-    """Counts of hashes, with a bound on the distinct ones that are held."""
+    """Counts of hashes, each with the first block, and a bound on the distinct ones that are held."""
 
     def __init__(self, most: int):
         self.parts, self.size, self.most = [], 0, most
 
-    def add(self, hashes: np.ndarray):
+    def add(self, hashes: np.ndarray, block: int):
         """Counts to pass on, if there are too many."""
-        self.parts.append(np.unique(hashes, return_counts=True))
-        self.size += len(self.parts[-1][0])
+        h, n = np.unique(hashes, return_counts=True)
+        self.parts.append((h, n, np.full(len(h), block)))
+        self.size += len(h)
         if self.size > self.most:
-            merged = self.merged()
-            self.parts, self.size = [merged], len(merged[0])
+            self.parts = [self.merged()]
+            self.size = len(self.parts[0][0])
             if self.size > self.most // 2:
                 return self.flush()
         return None
 
     def merged(self):
-        h, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        names, at = np.unique(h, return_inverse=True)
-        return names, np.bincount(at, weights=n).astype(np.int64)
+        h, n, block = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        names, first, at = np.unique(h, return_index=True, return_inverse=True)
+        return names, np.bincount(at, weights=n).astype(np.int64), block[first]
 
     def flush(self):
         out = self.merged() if self.parts else None
@@ -138,30 +193,32 @@ class Tally:
         return out
 
 
-def _hash_counts(docs: DataFrame, bitmaps: list, least: int) -> DataFrame:
-    """(h) of the hashed phrases of len(bitmaps) + 1 words that reach the least count, collisions included."""
-    sent, most = docs.sparkSession.sparkContext.broadcast(bitmaps), HELD
+def _hash_counts(held: DataFrame, bitmaps: list, least: int, mask: int) -> DataFrame:
+    """(size, h, n, block) of the hashed phrases of len(bitmaps) + 1 words that reach the least count, collisions included."""
+    sent, most, size = held.sparkSession.sparkContext.broadcast(bitmaps), HELD, len(bitmaps) + 1
+
+    def batch(counts):
+        h, n, block = counts
+        return pa.record_batch({"h": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64)), "block": pa.array(block)})
 
     def run(batches):
         tally = Tally(most)
-
-        def batch(counts):
-            return pa.record_batch({"h": pa.array(counts[0].view(np.int64)), "n": pa.array(counts[1].astype(np.int64))})
-
-        for part in blocks(batches, 0):
-            over = tally.add(Levels(part.column(0), part.column(1), sent.value).found[-1][1])
+        for block in read_blocks(batches):
+            over = tally.add(levels(block, sent.value, mask)[-1][1], block.number)
             if over is not None:
                 yield batch(over)
         rest = tally.flush()
         if rest is not None:
             yield batch(rest)
 
-    counts = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return table(counts.where(F.col("n") >= least).select("h"))
+    counts = held.mapInArrow(run, "h long, n long, block long").groupBy("h").agg(F.sum("n").alias("n"), F.min("block").alias("block"))
+    found = table(counts.where(F.col("n") >= least).select(F.lit(size).alias("size"), "h", "n", "block"))
+    sent.unpersist()
+    return found
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """The lowest BITMAP bits of the hashes as a bitmap; collected in parts of 4 KB, of fixed total size."""
+    """The lowest BITMAP bits of the hashes h as a bitmap; collected in parts of 4 KB, of fixed total size."""
     place = F.col("h").bitwiseAND(F.lit((1 << BITMAP) - 1)) + 1
     parts = hashes.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = np.zeros(1 << (BITMAP - 3), np.uint8)
@@ -170,36 +227,34 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _candidates(docs: DataFrame, bitmaps: list, hashes: list[DataFrame]) -> DataFrame:
-    """(lang, phrase, size): the distinct phrases of up to len(hashes) words that may be frequent."""
-    sent, most = docs.sparkSession.sparkContext.broadcast(bitmaps), HELD
+def _spelled(held: DataFrame, bitmaps: list, wanted: DataFrame, mask: int, everywhere: bool) -> DataFrame:
+    """(size, h, lang, phrase) of the wanted hashes (size, h, block), from their blocks or from all."""
+
+    def where(batches):
+        for b in batches:
+            h = b.column("h").to_numpy().view(np.uint64)
+            yield pa.record_batch([pa.array(at_block(h, 0 if everywhere else b.column("block").to_numpy()).view(np.int64))], names=["h"])
+
+    sent = held.sparkSession.sparkContext.broadcast([*bitmaps, _bitmap(wanted.mapInArrow(where, "h long"))])
 
     def run(batches):
-        seen = np.empty(0, np.uint64)
-        for part in blocks(batches, 0):
-            held = Levels(part.column(0), part.column(1), sent.value[:-1])
-            at, h = held.found[-1]
-            fit = frequent(sent.value[-1], h)
-            held.found[-1] = at[fit], h[fit]
-            new = []
-            for size, (at, h) in enumerate(held.found, 1):
-                h, first = np.unique(h, return_index=True)
-                fresh = seen[np.minimum(np.searchsorted(seen, h), len(seen) - 1)] != h if len(seen) else np.ones(len(h), bool)
-                h, at = h[fresh], at[first[fresh]]
-                new.append(h)
-                names = [held.words.names.take(pa.array(held.words.code[at + k])) for k in range(size)]
+        *known, asked = sent.value
+        for block in read_blocks(batches):
+            for size, (at, h) in enumerate(levels(block, known, mask), 1):
+                # Of every phrase one place; where hashes meet, phrases of several spellings.
+                fit = frequent(asked, at_block(h, 0 if everywhere else block.number))
+                at, h = at[fit], h[fit]
+                if not everywhere:
+                    h, first = np.unique(h, return_index=True)
+                    at = at[first]
+                names = [block.names.take(pa.array(block.code[at + k])) for k in range(size)]
                 phrase = pc.binary_join_element_wise(*names, pa.scalar(" ", names[0].type)) if size > 1 else names[0]
-                lang = held.langs.dictionary.take(pa.array(held.lang[at]))
-                yield pa.record_batch({"h": pa.array(h.view(np.int64)), "lang": lang.cast(pa.string()), "phrase": phrase.cast(pa.string()), "size": pa.array(np.full(len(at), size, np.int32))})
-            seen = np.concatenate([seen, *new])
-            seen = np.sort(seen) if len(seen) <= most else np.empty(0, np.uint64)
+                lang = block.langs.take(pa.array(block.lang[at]))
+                yield pa.record_batch({"size": pa.array(np.full(len(at), size, np.int32)), "h": pa.array(h.view(np.int64)), "lang": lang.cast(pa.string()), "phrase": phrase.cast(pa.string())})
 
-    found = docs.mapInArrow(run, "h long, lang string, phrase string, size int").groupBy("lang", "phrase", "size").agg(F.min("h").alias("h"))
-    # The bitmaps may let more through; the hashes themselves do not.
-    known = hashes[0].withColumn("size", F.lit(1))
-    for size, rows in enumerate(hashes[1:], 2):
-        known = known.union(rows.withColumn("size", F.lit(size)))
-    return table(found.join(known, ["h", "size"], "left_semi").select("lang", "phrase", "size"))
+    found = held.mapInArrow(run, "size int, h long, lang string, phrase string").distinct()
+    # The bitmap may let more through; the hashes themselves do not.
+    return found.join(wanted.select("size", "h"), ["size", "h"], "left_semi")
 
 
 def double_array(symbols: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,16 +334,9 @@ def _digits(numbers: np.ndarray) -> np.ndarray:
     return np.stack((numbers >> DIGIT, numbers & ((1 << DIGIT) - 1)), axis=1)
 
 
-#: A phrase has lang, phrase, size and number; the row of the trie itself has the others.
-BUILT = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("number", pa.int32()), *[(n, pa.binary()) for n in ("words", "langs", "base", "check", "accepts")]])
-BUILT_DDL = "shard int, lang string, phrase string, size int, number int, words binary, langs binary, base binary, check binary, accepts binary"
-
-
-def _stored(values: pa.Array) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("x", values.type)])) as out:
-        out.write_batch(pa.record_batch([values], names=["x"]))
-    return sink.getvalue().to_pybytes()
+#: A phrase has lang, phrase, size, hash and number; the row of the trie itself has the others.
+BUILT = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("h", pa.int64()), ("number", pa.int32()), *[(n, pa.binary()) for n in ("words", "langs", "base", "check", "accepts")]])
+BUILT_DDL = "shard int, lang string, phrase string, size int, h long, number int, words binary, langs binary, base binary, check binary, accepts binary"
 
 
 def build(part: pa.Table) -> pa.Table:
@@ -306,14 +354,14 @@ def build(part: pa.Table) -> pa.Table:
     base, check, state = double_array(symbols, 2 * (size + 1))
     accepts = np.full(len(base), -1, np.int32)
     accepts[state] = np.arange(n)
-    phrases = {"shard": part.column("shard"), "lang": lang, "phrase": phrase, "size": part.column("size"), "number": pa.array(np.arange(n, dtype=np.int32))}
+    phrases = {"shard": part.column("shard"), "lang": lang, "phrase": phrase, "size": part.column("size"), "h": part.column("h"), "number": pa.array(np.arange(n, dtype=np.int32))}
     trie = {"shard": part.column("shard")[:1], "words": pa.array([_stored(coded.dictionary)]), "langs": pa.array([_stored(langs)]), "base": pa.array([base.tobytes()]), "check": pa.array([check.tobytes()]), "accepts": pa.array([accepts.tobytes()])}
     return pa.concat_tables([pa.table({f.name: held.get(f.name, pa.nulls(rows, f.type)) for f in BUILT}, schema=BUILT) for held, rows in ((phrases, n), (trie, 1))])
 
 
 class Trie:
     def __init__(self, words: bytes, langs: bytes, base: bytes, check: bytes, accepts: bytes):
-        self.words, self.langs = (pa.ipc.open_stream(x).read_all().column("x").combine_chunks() for x in (words, langs))
+        self.words, self.langs = _read(words), _read(langs)
         self.base, self.check, self.accepts = (np.frombuffer(x, np.int32) for x in (base, check, accepts))
         self.phrases = int(self.accepts.max()) + 1
 
@@ -327,81 +375,98 @@ class Trie:
             at, now = at[fit], child[fit]
         return at, now
 
-    def counts(self, words: Words, langs: pa.Array, lang: np.ndarray) -> np.ndarray:
-        """How often each phrase stands among the words; `langs` names the numbers in `lang`, one a word."""
+    def counts(self, block) -> np.ndarray:
+        """How often each phrase stands in a block."""
 
         def codes(names, known):
             return pc.fill_null(pc.index_in(names.cast(known.type), value_set=known), -1).to_numpy()
 
-        of_lang = codes(langs, self.langs)
+        of_lang = codes(block.langs, self.langs)
         with_root, roots = self.advance(np.zeros(len(of_lang), np.int32), of_lang)
-        root = np.full(len(of_lang) + 1, -1, np.int32)
+        root = np.full(len(of_lang), -1, np.int32)
         root[with_root] = roots
-        states = root[lang]
-        at = np.flatnonzero(states >= 0)
-        states, symbols, out = states[at], codes(words.names, self.words)[words.code], np.zeros(self.phrases, np.int64)
+        symbols = codes(block.names, self.words)[block.code]
+        at = np.flatnonzero(symbols >= 0)
+        states = root[block.lang[at]]
+        at, states = at[states >= 0], states[states >= 0]
+        out = np.zeros(self.phrases, np.int64)
         for level in range(WORDS):
             fit, states = self.advance(states, symbols[at + level])
             at, accepted = at[fit], self.accepts[states]
             out += np.bincount(accepted[accepted >= 0], minlength=self.phrases)
-            on = words.joined[at + level]
+            on = block.joined[at + level]
             at, states = at[on], states[on]
         return out
 
 
-def _counted(docs: DataFrame, held: Trie, shard: int) -> DataFrame:
-    """(shard, number, n) of the phrases of a trie that stand in the documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(held)
+def _counted(held: DataFrame, trie: Trie, shard: int) -> DataFrame:
+    """(shard, number, n) of the phrases of a trie that stand in the blocks."""
+    sent = held.sparkSession.sparkContext.broadcast(trie)
 
     def run(batches):
-        trie, total = sent.value, None
-        for part in blocks(batches, 0):
-            words, langs = Words(part.column(0)), part.column(1).cast(pa.string()).fill_null("und").dictionary_encode()
-            found = trie.counts(words, langs.dictionary, langs.indices.to_numpy(zero_copy_only=False)[words.text])
+        total = None
+        for block in read_blocks(batches):
+            found = sent.value.counts(block)
             total = found if total is None else total + found
         if total is not None:
             number = np.flatnonzero(total)
             yield pa.record_batch({"shard": pa.array(np.full(len(number), shard, np.int32)), "number": pa.array(number.astype(np.int32)), "n": pa.array(total[number])})
 
-    sums = table(docs.mapInArrow(run, "shard int, number int, n long").groupBy("shard", "number").agg(F.sum("n").alias("n")))
-    sent.unpersist()
+    sums = table(held.mapInArrow(run, "shard int, number int, n long").groupBy("shard", "number").agg(F.sum("n").alias("n")))
+    sent.destroy()
     return sums
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, phrase, size, n): every phrase of up to WORDS words that stands at least `least` times, with its exact count."""
-    texts = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    bitmaps, hashes = [], []
-    for _ in range(WORDS):
-        hashes.append(_hash_counts(texts, bitmaps, least))
-        bitmaps.append(_bitmap(hashes[-1]))
-    found = _candidates(texts, bitmaps, hashes)
-    shards = max(1, math.ceil(found.count() / TRIE_PHRASES))
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
+def count_phrases(held: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(size, h, lang, phrase, n): the phrases (size, h, lang, phrase) with their exact counts, by one trie after the other."""
+    phrases = table(phrases)
+    shards = max(1, math.ceil(phrases.count() / TRIE_PHRASES))
+    dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
     tries = table(dealt.groupBy("shard").applyInArrow(build, BUILT_DDL))
     counts = None
     for shard in range(shards):
         row = tries.where((F.col("shard") == shard) & F.col("base").isNotNull()).select("words", "langs", "base", "check", "accepts").first()
         if row is not None:
-            some = _counted(texts, Trie(*map(bytes, row)), shard)
+            some = _counted(held, Trie(*row), shard)
             counts = some if counts is None else counts.union(some)
-    phrases = tries.where("base is null").select("shard", "number", "lang", "phrase", "size")
+    numbered = tries.where("base is null").select("shard", "number", "size", "h", "lang", "phrase")
     if counts is None:
-        return phrases.select("lang", "phrase", "size", F.lit(least).cast("long").alias("n"))
-    return table(phrases.join(counts, ["shard", "number"]).where(F.col("n") >= least).select("lang", "phrase", "size", "n"))
+        return numbered.select("size", "h", "lang", "phrase", F.lit(1).cast("long").alias("n"))
+    return table(numbered.join(counts, ["shard", "number"]).select("size", "h", "lang", "phrase", "n"))
 
 
-def _totals(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+def phrase_counts(held: DataFrame, least: int, mask: int = 2**64 - 1) -> DataFrame:
+    """(lang, phrase, size, n): every phrase of up to WORDS words that stands at least `least` times in the
+    blocks, with its exact count. `mask` is for tests, to make hashes meet."""
+    bitmaps, hashes = [], []
+    for _ in range(WORDS):
+        hashes.append(_hash_counts(held, bitmaps, least, mask))
+        bitmaps.append(_bitmap(hashes[-1]))
+    wanted = hashes[0]
+    for more in hashes[1:]:
+        wanted = wanted.union(more)
+    counts = count_phrases(held, _spelled(held, bitmaps, wanted, mask, everywhere=False))
+    # A hash that stands more often than its phrase has other phrases, too.
+    seen = counts.groupBy("size", "h").agg(F.sum("n").alias("seen"))
+    shared = table(wanted.join(seen, ["size", "h"], "left").where(F.coalesce("seen", F.lit(0)) < F.col("n")).select("size", "h", "block"))
+    if not shared.isEmpty():
+        others = _spelled(held, bitmaps, shared, mask, everywhere=True).join(counts, ["size", "lang", "phrase"], "left_anti")
+        counts = counts.union(count_phrases(held, others.select("size", "h", "lang", "phrase")))
+    return table(counts.where(F.col("n") >= least).select("lang", "phrase", "size", "n"))
+
+
+def _totals(held: DataFrame) -> DataFrame:
     """(lang, total): the words of every language."""
 
     def run(batches):
-        for part in blocks(batches, 0):
-            words, langs = Words(part.column(0)), part.column(1).cast(pa.string()).fill_null("und").dictionary_encode()
-            n = np.bincount(langs.indices.to_numpy(zero_copy_only=False)[words.text], minlength=len(langs.dictionary))
-            yield pa.record_batch({"lang": langs.dictionary, "total": pa.array(n.astype(np.int64))})
+        for b in batches:
+            for row in range(b.num_rows):
+                langs, lang, words = (b.column(n)[row].as_buffer() for n in ("langs", "lang", "words"))
+                names = _read(langs)
+                n = np.bincount(np.frombuffer(lang, np.int32), weights=np.frombuffer(words, np.int32), minlength=len(names))
+                yield pa.record_batch({"lang": names, "total": pa.array(n.astype(np.int64))})
 
-    texts = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    return texts.mapInArrow(run, "lang string, total long").groupBy("lang").agg(F.sum("total").alias("total"))
+    return held.select("langs", "lang", "words").mapInArrow(run, "lang string, total long").groupBy("lang").agg(F.sum("total").alias("total"))
 
 
 def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -416,7 +481,8 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     Null texts count as empty, a null language as `und`. Repeated rows count each. Empty tables, or no phrase that
     is frequent enough, give no rows. Other columns are not read.
     """
-    counts = phrase_counts(docs, least, lang_col, text_col)
+    held = encoded(docs, lang_col, text_col)
+    counts = phrase_counts(held, least)
     words = F.split("phrase", " ")
 
     def joined(start, length):
@@ -441,5 +507,5 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x")).select("lang", "phrase", "a", "x.score", "x.l", "x.r")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     first = lowest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    named = _totals(docs, lang_col, text_col).withColumnsRenamed({"lang": "_lang", "total": "n"})
+    named = _totals(held).withColumnsRenamed({"lang": "_lang", "total": "n"})
     return first.join(named, F.col("lang") == F.col("_lang")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

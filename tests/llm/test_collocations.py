@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -77,19 +78,28 @@ def test_many_tries_small_bitmaps_and_bounded_tallies(spark, monkeypatch):
     assert as_rows(collocations.collocations(df, 5)) == brute(rows, 5)
 
 
+@pytest.mark.parametrize("bits", [6, 11])
+def test_phrases_that_share_a_hash_are_all_counted(spark, bits):
+    rows = corpus(9, 300, 40)
+    held = collocations.encoded(spark.createDataFrame(rows, "text string, lang string").repartition(3), "lang", "text")
+    got, want = (collocations.phrase_counts(held, 4, mask) for mask in (2**bits - 1, 2**64 - 1))
+    got, want = (sorted(tuple(r) for r in x.collect()) for x in (got, want))
+    assert got == want and len(got) > 300
+
+
 def test_trie_holds_exactly_its_phrases():
     rng = random.Random(2)
     phrases = sorted({(rng.choice("xyz"), " ".join(f"t{int(rng.paretovariate(0.6)) % 5000}" for _ in range(rng.randrange(1, 4)))) for _ in range(20000)})
     langs, texts = zip(*phrases, strict=True)
     size = [len(t.split()) for t in texts]
-    part = pa.table({"shard": pa.array([3] * len(texts), pa.int32()), "lang": list(langs), "phrase": list(texts), "size": pa.array(size, pa.int32())})
+    part = pa.table({"shard": pa.array([3] * len(texts), pa.int32()), "lang": list(langs), "phrase": list(texts), "size": pa.array(size, pa.int32()), "h": pa.array(range(len(texts)))})
     built = collocations.build(part)
     trie = collocations.Trie(*(built.column(n)[len(texts)].as_py() for n in ("words", "langs", "base", "check", "accepts")))
     assert trie.phrases == len(phrases)
     probes = phrases + [("x", "t1 t2 unknown"), ("none", "t1"), ("y", "")]
     words = collocations.Words(pa.array([t for _, t in probes]))
     names = pa.array([lang for lang, _ in probes]).dictionary_encode()
-    got = trie.counts(words, names.dictionary, names.indices.to_numpy()[words.text])
+    got = trie.counts(SimpleNamespace(names=words.names, code=words.code, joined=words.joined, langs=names.dictionary, lang=names.indices.to_numpy()[words.text]))
     want = Counter((lang, " ".join(w[i : i + k])) for lang, t in probes for w in [t.split()] for k in (1, 2, 3) for i in range(len(w) - k + 1))
     assert got.tolist() == [want[p] for p in phrases]
 
