@@ -239,22 +239,37 @@ def v2_curve(spark, sf):
     return search.learning_curve(li(spark, sf), "l_extendedprice", ["l_quantity"], "linear_regression", _KEY, sizes=(0.1, 0.5, 1.0), folds=2)
 
 
-@check("v7_clustering_metrics")
+@check("v7_clustering_metrics", """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+ c AS (SELECT label, i, AVG(x) AS m, COUNT(*) AS n FROM v GROUP BY 1, 2), d AS (SELECT vec_id, v.label, c.label AS other, c.n, SUM((x - m) * (x - m)) AS d FROM v JOIN c USING (i) GROUP BY ALL),
+ s AS (SELECT label, n, SUM(d) AS w, AVG(SQRT(d)) AS s FROM d WHERE label = other GROUP BY 1, 2),
+ q AS (SELECT vec_id, MAX(CASE WHEN d.label = other THEN (d + s.w / s.n) * s.n / (s.n - 1) END) AS a, MIN(CASE WHEN d.label <> other THEN d + s.w / s.n END) AS b FROM d JOIN s ON s.label = other GROUP BY 1),
+ g AS (SELECT i, AVG(x) AS g FROM v GROUP BY 1), b AS (SELECT SUM(n * (m - g) * (m - g)) AS b FROM c JOIN g USING (i)),
+ r AS (SELECT p.label, MAX((sp.s + sq.s) / SQRT(gap)) AS r FROM (SELECT p.label, q.label AS other, SUM((p.m - q.m) * (p.m - q.m)) AS gap FROM c p JOIN c q ON p.i = q.i AND p.label <> q.label GROUP BY 1, 2) p JOIN s sp ON sp.label = p.label JOIN s sq ON sq.label = p.other GROUP BY 1),
+ k AS (SELECT COUNT(*) AS k, SUM(n) AS nn, SUM(w) AS w FROM s)
+ SELECT k AS clusters, ROUND((SELECT AVG((b - a) / GREATEST(a, b)) FROM q), 6) AS silhouette, ROUND((SELECT AVG(r) FROM r), 6) AS davies_bouldin, ROUND(b / (k - 1) / (w / (nn - k)), 6) AS calinski_harabasz FROM b, k""")
 def v7(spark, sf):
     v = vectors(spark, sf)
-    return metrics.clustering_metrics(v, "label", _E)
+    return rounded(metrics.clustering_metrics(v, "label", _E), 6)
 
 
-@check("v7_calinski_harabasz", """WITH v AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings), c AS (SELECT label, COUNT(*) AS n, AVG(a) AS ma, AVG(b) AS mb FROM v GROUP BY 1),
- w AS (SELECT SUM((a - ma) * (a - ma) + (b - mb) * (b - mb)) AS w FROM v JOIN c USING (label)), g AS (SELECT AVG(a) AS ga, AVG(b) AS gb, COUNT(*) AS nn FROM v)
- SELECT ROUND((SELECT SUM(n * ((ma - ga) * (ma - ga) + (mb - gb) * (mb - gb))) FROM c, g) / ((SELECT COUNT(*) FROM c) - 1) / (w / (nn - (SELECT COUNT(*) FROM c))), 6) AS calinski_harabasz FROM w, g""")
+# The 64 values of every embedding as rows (vec_id, label, i, x), and the means of the labels.
+_LONG = """v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+ c AS (SELECT label, i, AVG(x) AS m, COUNT(*) AS n FROM v GROUP BY 1, 2)"""
+
+
+@check("v7_calinski_harabasz", f"""WITH {_LONG}, w AS (SELECT SUM((x - m) * (x - m)) AS w FROM v JOIN c USING (label, i)), g AS (SELECT i, AVG(x) AS g FROM v GROUP BY 1),
+ b AS (SELECT SUM(n * (m - g) * (m - g)) AS b FROM c JOIN g USING (i)), k AS (SELECT COUNT(DISTINCT label) AS k, COUNT(*) AS nn FROM embeddings)
+ SELECT ROUND(b / (k - 1) / (w / (nn - k)), 6) AS calinski_harabasz FROM w, b, k""")
 def v7_ch(spark, sf):
-    return rounded(metrics.clustering_metrics(vectors(spark, sf, 2), "label", _E[:2]).select("calinski_harabasz"), 6)
+    return rounded(metrics.clustering_metrics(vectors(spark, sf), "label", _E).select("calinski_harabasz"), 6)
 
 
-@check("v7_silhouette_samples")
+@check("v7_silhouette_samples", f"""WITH {_LONG}, d AS (SELECT vec_id, v.label, c.label AS other, c.n, SUM((x - m) * (x - m)) AS d FROM v JOIN c USING (i) GROUP BY ALL),
+ s AS (SELECT label, SUM(d) / n AS w FROM d WHERE label = other GROUP BY label, n),
+ q AS (SELECT vec_id, d.label, MAX(CASE WHEN d.label = other THEN (d + w) * n / (n - 1) END) AS a, MIN(CASE WHEN d.label <> other THEN d + w END) AS b FROM d JOIN s ON s.label = other GROUP BY 1, 2)
+ SELECT vec_id, label, ROUND((b - a) / GREATEST(a, b), 6) AS silhouette FROM q""")
 def v7_samples(spark, sf):
-    return metrics.silhouette_samples(vectors(spark, sf), "label", _E)
+    return rounded(metrics.silhouette_samples(vectors(spark, sf), "label", _E).select("vec_id", "label", "silhouette"), 6)
 
 
 @check("h1_grid_search")

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import dist
 from millrace.operators.columns import numeric_or
 from millrace.operators.moments import kurt, skew
+from millrace.plans import batches
 from millrace.plans.lookup import attach
 from millrace.plans.ordered import prefix_sum
 from millrace.plans.quantiles import column_quantiles, exact_quantiles, number
@@ -215,13 +217,10 @@ def bootstrap_ci(df: DataFrame, column, key, statistic="mean", n_bootstrap=1000,
 
 def vif(df: DataFrame, columns=None):
     """Variance inflation of every column given the others, without an intercept."""
-    import numpy as np
-
     cols = numeric_or(df, columns)
-    full = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(cols)]).na.drop()
-    k = len(cols)
-    row = full.agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    classes, scatter = batches.class_statistics(df, cols, full=True)
+    n, mean = batches.overall(classes, len(cols))
+    gram, k = scatter + n * np.outer(mean, mean), len(cols)
     inv = np.linalg.inv(gram)
     return df.sparkSession.createDataFrame(pd.DataFrame({"column": cols, "vif": [float(gram[i, i] * inv[i, i]) for i in range(k)]}))
 

@@ -2,13 +2,17 @@
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.columns import string_columns
 from millrace.operators.profile import value_range
+from millrace.plans import batches
 from millrace.plans.ordered import prefix_sum
 from millrace.plans.quantiles import column_quantiles, number
-from millrace.plans.sizing import keep
+from millrace.plans.sizing import freeze, keep
 
 
 def _sum(*terms):
@@ -198,64 +202,72 @@ def _right_closed(v, lo, width, bins):
     return index
 
 
-def clustering_metrics(df: DataFrame, cluster, features, noise=-1):
-    """Clusters, Calinski-Harabasz and Davies-Bouldin from per-cluster sums, silhouette from the centres.
+def _silhouette():
+    """From the mean squared distances of against_centres; 0 for the only row of a cluster."""
+    return F.coalesce(F.try_divide(F.col("_other") - F.col("_own"), F.greatest("_own", "_other")), F.lit(0.0))
 
-    With fewer than two clusters, or with noise points, the scores are undefined (NULL).
-    """
-    from pyspark.ml.evaluation import ClusteringEvaluator
 
-    from millrace.operators.models import assemble
+def _squared_gap(vector, point):
+    point = F.array(*[F.lit(float(v)) for v in point])
+    return F.aggregate(F.zip_with(vector, point, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
 
-    cols = list(features)
-    kept = df.na.drop(subset=cols)
-    per = keep(kept.groupBy(F.col(cluster).alias("c")).agg(
-        F.count("*").alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(cols)]), "centres")
-    rows = per.collect()
-    clusters = len([r for r in rows if r["c"] != noise])
-    spark = df.sparkSession
-    if clusters < 2 or clusters != len(rows):
+
+def _worst_ratios(classes: DataFrame, width):
+    """(g, worst): the greatest (s_a + s_b) / distance of the centres, over the other clusters, in blocks of centres."""
+    out = classes.select("g", "mean", "dist", F.lit(0.0).alias("worst"))
+    for rows in batches.centre_blocks(classes, width, ["mean", "dist"]):
+        if not rows:
+            continue
+        sent = classes.sparkSession.sparkContext.broadcast((np.array([r["mean"] for r in rows]), np.array([r["dist"] for r in rows])))
+
+        def run(parts, sent=sent):
+            mean, dist = sent.value
+            for b in parts:
+                own, spread, worst = batches.rows_of(b.column("mean"), width), b.column("dist").to_numpy(), b.column("worst").to_numpy().copy()
+                step = max(1, batches.HELD_BYTES // (8 * len(dist)))
+                for s in range(0, len(own), step):
+                    some = own[s : s + step]
+                    gap = np.sqrt(np.stack([((mean - x) ** 2).sum(1) for x in some]))
+                    ratio = np.where(gap > 0, (spread[s : s + step, None] + dist[None, :]) / np.where(gap > 0, gap, 1.0), 0.0)
+                    worst[s : s + step] = np.maximum(worst[s : s + step], ratio.max(1))
+                yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(worst)], names=b.schema.names)
+
+        out = out.mapInArrow(run, batches.ddl(out))
+    return out.select("g", "worst")
+
+
+def clustering_metrics(df: DataFrame, cluster, features, noise=-1):
+    """Clusters, silhouette (squared distances), Davies-Bouldin and Calinski-Harabasz of the complete rows.
+
+    Counts, means and spreads of the clusters are merged from Arrow batches; one more pass compares every row
+    with the centres. With fewer than two clusters, or with noise points, the scores are undefined (NULL).
+    """
+    cols, width = list(features), len(features)
+    classes, _ = batches.class_statistics(df, cols, cluster)
+    # Labels of text are compared as text.
+    is_noise = F.col("g").eqNullSafe(F.lit(str(noise) if "g" in string_columns(classes) else noise))
+    own, noisy = classes.agg(F.count(F.when(~is_noise, 1)), F.count(F.when(is_noise, 1))).first()
+    if own < 2 or noisy:
         null = F.lit(None).cast("double")
-        return spark.range(1).select(F.lit(clusters).alias("clusters"), null.alias("silhouette"), null.alias("davies_bouldin"), null.alias("calinski_harabasz"))
-    names = [f"m{i}" for i in range(len(cols))]
-    from millrace.plans.lookup import attach
-
-    with_centre = attach(kept.withColumn("c", F.col(cluster)), per, ["c"], names, weight="n")
-    d2 = _sum(*[(F.col(f) - F.col(m)) * (F.col(f) - F.col(m)) for f, m in zip(cols, names)])
-    spread = {r["c"]: (r["within"], r["dist"]) for r in with_centre.groupBy("c").agg(F.sum(d2).alias("within"), F.avg(F.sqrt(d2)).alias("dist")).collect()}
-    n = sum(r["n"] for r in rows)
-    centre = [sum(r["n"] * r[m] for r in rows) / n for m in names]
-    between = sum(r["n"] * sum((r[m] - g) ** 2 for m, g in zip(names, centre)) for r in rows)
-    within = sum(w for w, _ in spread.values())
-    ch = (between / (clusters - 1)) / (within / (n - clusters)) if within else None
-    worst = []
-    for a in rows:
-        ratios = []
-        for b in rows:
-            gap = sum((a[m] - b[m]) ** 2 for m in names) ** 0.5
-            if a["c"] != b["c"] and gap:
-                ratios.append((spread[a["c"]][1] + spread[b["c"]][1]) / gap)
-        worst.append(max(ratios, default=0.0))
-    vectors = assemble(kept.select(*cols, F.col(cluster).cast("double").alias("prediction")), cols, "features")
-    sil = ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(vectors)
-    return spark.range(1).select(
-        F.lit(clusters).alias("clusters"), F.lit(float(sil)).alias("silhouette"), F.lit(sum(worst) / len(worst)).alias("davies_bouldin"),
-        F.lit(ch).cast("double").alias("calinski_harabasz"))
+        return df.sparkSession.range(1).select(F.lit(own).alias("clusters"), null.alias("silhouette"), null.alias("davies_bouldin"), null.alias("calinski_harabasz"))
+    rows = batches.vectors(df, cols, F.col(cluster).alias("_g"))
+    compared = batches.against_centres(rows, "_g", classes, width).select("_g", "_gap", _silhouette().alias("_s"))
+    per = freeze(compared.groupBy("_g").agg(F.count("*").alias("rows"), F.avg("_gap").alias("dist"), F.sum("_s").alias("s")), "spread")
+    joined = freeze(classes.join(per, F.col("g").eqNullSafe(F.col("_g"))).select("g", "n", "within", "mean", "dist", "s"), "classes")
+    within, s = joined.agg(F.sum("within"), F.sum("s")).first()
+    n, middle = batches.overall(joined, width)
+    between = joined.agg(F.sum(F.col("n") * _squared_gap("mean", middle))).first()[0]
+    worst = _worst_ratios(joined, width).agg(F.avg("worst")).first()[0]
+    ch = (between / (own - 1)) / (within / (n - own)) if within and n > own else None
+    return df.sparkSession.range(1).select(
+        F.lit(own).alias("clusters"), F.lit(s / n).cast("double").alias("silhouette"), F.lit(worst).cast("double").alias("davies_bouldin"), F.lit(ch).cast("double").alias("calinski_harabasz"))
 
 
 def silhouette_samples(df: DataFrame, cluster, features):
-    """Squared-Euclidean silhouette of every row, from per-cluster means and mean squared norms."""
+    """Squared-Euclidean silhouette of every row, from counts, means and spreads of the clusters; 0 for incomplete rows."""
     cols = list(features)
-    norm = _sum(*[F.col(f) * F.col(f) for f in cols])
-    per = df.groupBy(F.col(cluster).alias("c")).agg(F.count("*").alias("n"), F.avg(norm).alias("q"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(cols)]).collect()
-    if len(per) > 1000:
-        raise ValueError("more than 1000 clusters")
-    own, other = F.lit(None).cast("double"), []
-    for r in per:
-        dot = _sum(*[F.col(f) * F.lit(r[f"m{i}"]) for i, f in enumerate(cols)])
-        mean_d = norm + F.lit(r["q"]) - 2 * dot
-        here = F.col(cluster) == F.lit(r["c"])
-        own = F.when(here, mean_d * r["n"] / (r["n"] - 1) if r["n"] > 1 else F.lit(None).cast("double")).otherwise(own)
-        other.append(F.when(~here, mean_d))
-    a, b = own, F.array_min(F.array(*other))
-    return df.withColumn("silhouette", F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+    classes, _ = batches.class_statistics(df, cols, cluster)
+    x = F.array(*[number(c) for c in cols])
+    rows = df.withColumn("_x", F.when(~F.exists(x, lambda v: v.isNull()), x))
+    out = batches.against_centres(rows, cluster, classes, len(cols))
+    return out.withColumn("silhouette", _silhouette()).drop("_x", "_own", "_other", "_gap")
