@@ -156,7 +156,7 @@ def u3(spark, sf):
 def u4(spark, sf):
     from millrace.operators.hypothesis import bootstrap_ci
 
-    return bootstrap_ci(load(spark, sf, "orders"), "o_totalprice", "o_orderkey", statistic=lambda s: F.sqrt(s["square"] / s["count"]), n_bootstrap=200)
+    return bootstrap_ci(load(spark, sf, "orders"), "o_totalprice", "o_orderkey", statistic=lambda s: (s["square"] / s["count"]) ** 0.5, n_bootstrap=200)
 
 
 @check("u5_hooks_around_scoring", "SELECT COUNT(*) AS n, CAST(SUM(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS good FROM labels JOIN documents USING (doc_id) WHERE n_chars > 100")

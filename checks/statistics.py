@@ -146,6 +146,11 @@ def t13(spark, sf):
     return hypothesis.bootstrap_ci(load(spark, sf, "orders"), "o_totalprice", "o_orderkey")
 
 
+@check("t13_bootstrap_median")
+def t13_median(spark, sf):
+    return hypothesis.bootstrap_ci(load(spark, sf, "orders"), "o_totalprice", "o_orderkey", "median")
+
+
 @check("t14_vif", f"""WITH g AS (SELECT SUM(l_quantity * l_quantity) AS aa, SUM(l_quantity * l_tax) AS ab, SUM(l_tax * l_tax) AS bb FROM lineitem)
  SELECT 'l_quantity' AS "column", ROUND(aa * bb / (aa * bb - ab * ab), 6) AS vif FROM g UNION ALL SELECT 'l_tax', ROUND(aa * bb / (aa * bb - ab * ab), 6) FROM g""")
 def t14(spark, sf):
@@ -177,9 +182,17 @@ def p2(spark, sf):
     return out.select("value", F.round("share", 6).alias("share"))
 
 
-@check("p3_density")
+def _density_sql(column, points, group):
+    k = f"{group}, " if group else ""
+    return f"""WITH g AS (SELECT MIN({column}) AS lo, (MAX({column}) - MIN({column})) / {points - 1} AS step FROM lineitem), s AS (SELECT {k}COUNT(*) AS n, STDDEV_SAMP({column}) * POWER(COUNT(*), -0.2) AS h FROM lineitem {f'GROUP BY {group}' if group else ''}),
+ v AS (SELECT {k}{column} AS m, COUNT(*) AS c FROM lineitem GROUP BY ALL), p AS (SELECT CAST(i AS INTEGER) AS point, lo + i * step AS x FROM range({points}) t(i), g)
+ SELECT {k}point, ROUND(x, 4) AS x, ROUND(SUM(c * EXP(-0.5 * POWER((x - m) / h, 2)) / (n * h * SQRT(2 * PI()))) * 1e6, 4) AS density FROM v {f'JOIN s USING ({group})' if group else 'CROSS JOIN s'} CROSS JOIN p GROUP BY {k}point, x"""
+
+
+@check("p3_density", _density_sql("l_extendedprice", 200, None))
 def p3(spark, sf):
-    return charts.density(li(spark, sf), "l_extendedprice")
+    out = charts.density(li(spark, sf), "l_extendedprice")
+    return rounded(out.withColumn("density", F.col("density") * 1e6))
 
 
 @check("p4_box_plot", """WITH q AS (SELECT l_returnflag AS k, QUANTILE_CONT(l_extendedprice, 0.25) AS a, MEDIAN(l_extendedprice) AS m, QUANTILE_CONT(l_extendedprice, 0.75) AS b FROM lo GROUP BY 1)
@@ -215,9 +228,10 @@ def p7_fit(spark, sf):
     return charts.qq_fit(charts.qq_points(load(spark, sf, "orders"), "o_totalprice"))
 
 
-@check("p8_violin_density")
+@check("p8_violin_density", _density_sql("l_quantity", 100, "l_returnflag"))
 def p8(spark, sf):
-    return charts.violin(li(spark, sf), "l_quantity", "l_returnflag", 100)[0]
+    out = charts.violin(li(spark, sf), "l_quantity", "l_returnflag", 100)[0]
+    return rounded(out.withColumn("density", F.col("density") * 1e6))
 
 
 @check("p9_melt_series", union_all([f"SELECT o_orderkey, '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM orders" for c in ("o_totalprice", "o_custkey")]))

@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,21 +22,79 @@ def ecdf(df: DataFrame, column):
     return prefix_sum(counts, F.col("n"), ["value"]).select("value", ((F.col("_before") + F.col("n")) / F.col("_total")).alias("share"))
 
 
+#: Bandwidths beyond which a kernel is nothing in double precision beside its peak (e^-40), and group grids a task holds.
+KERNEL_REACH, HELD_GRIDS = 9.0, 4096
+
+
+def _kernel_sums(code, v, h, lo, step, points, groups):
+    """Sums over the values of exp(-z*z/2) at the grid points within KERNEL_REACH bandwidths, (groups, points)."""
+    out = np.zeros(groups * points)
+    near, reach = np.rint((v - lo) / step).astype(np.int64), np.minimum(np.ceil(KERNEL_REACH * h / step) + 1, points).astype(np.int64)
+    for width in np.unique(reach):
+        some = np.flatnonzero(reach == width)
+        offsets = np.arange(-width, width + 1) if 2 * width + 1 < points else None
+        for s in range(0, len(some), 4096):
+            at = some[s : s + 4096]
+            grid = np.arange(points)[None, :] if offsets is None else near[at][:, None] + offsets[None, :]
+            grid = np.broadcast_to(grid, (len(at), grid.shape[1]))
+            z = (lo + grid * step - v[at][:, None]) / h[at][:, None]
+            inside = (grid >= 0) & (grid < points)
+            out += np.bincount((code[at][:, None] * points + grid)[inside], weights=np.exp(-0.5 * z * z)[inside], minlength=len(out))
+    return out.reshape(groups, points)
+
+
 def density(df: DataFrame, column, points=200, group_by=()):
-    """Gaussian kernel density on a grid, Scott bandwidth, from every distinct value and its count."""
+    """Gaussian kernel density on a grid, Scott bandwidth, from every value.
+
+    A task adds up, for every group it meets, what its values give to the grid points within reach of their
+    kernels; only these sums are shuffled. Groups without spread, or of one value, have no density (NULL).
+    """
     groups = list(group_by)
     lo, hi = value_range(df, [column])[column]
     v = number(column)
     stats = keep(df.where(v.isNotNull()).groupBy(*groups).agg(F.count(v).alias("_N"), F.stddev(v).alias("_sd")), "stats")
-    counts = df.where(v.isNotNull()).groupBy(*groups, v.alias("m")).agg(F.count("*").alias("n"))
-    counts = attach(counts, stats, groups, ["_N", "_sd"]) if groups else counts.withColumns(dict(zip(("_N", "_sd"), map(F.lit, stats.first()))))
     h = F.col("_sd") * F.pow(F.col("_N").cast("double"), F.lit(-0.2))
-    step = (hi - lo) / (points - 1)
-    grid = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    x = F.lit(lo) + F.col("point") * F.lit(step)
-    z = (x - F.col("m")) / h
-    term = F.col("n") * F.exp(-0.5 * z * z) / (F.col("_N") * h * math.sqrt(2 * math.pi))
-    return grid.groupBy(*groups, "point").agg(F.sum(term).alias("density")).select(*groups, "point", x.alias("x"), "density")
+    # A group goes by a number, whatever the types of its keys.
+    stats = keep(stats.withColumns({"_g": F.monotonically_increasing_id(), "_h": h}), "stats")
+    held = df.where(v.isNotNull()).select(*groups, v.alias("_v"))
+    held = attach(held, stats, groups, ["_g", "_h"], weight="_N") if groups else held.crossJoin(F.broadcast(stats.select("_g", "_h")))
+    spark = df.sparkSession
+    if lo is None:
+        return stats.select(*groups, F.lit(0).alias("point"), F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).limit(0)
+    step = (hi - lo) / (points - 1) or 1.0
+
+    def run(batches):
+        names, sums = {}, []
+
+        def passed_on():
+            code = np.repeat(np.array(list(names), np.int64), points)
+            out = pa.record_batch({"_g": pa.array(code), "point": pa.array(np.tile(np.arange(points, dtype=np.int32), len(names))), "s": pa.array(np.concatenate(sums))})
+            names.clear()
+            sums.clear()
+            return out
+
+        for b in batches:
+            g, value, width = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            present, code = np.unique(g, return_inverse=True)
+            for start in range(0, len(present), HELD_GRIDS):
+                here = (code >= start) & (code < start + HELD_GRIDS)
+                some = present[start : start + HELD_GRIDS]
+                got = _kernel_sums(code[here] - start, value[here], width[here], lo, step, points, len(some))
+                for name, row in zip(some.tolist(), got, strict=True):
+                    if name not in names:
+                        names[name] = len(sums)
+                        sums.append(np.zeros(points))
+                    sums[names[name]] += row
+                if len(names) > HELD_GRIDS:
+                    yield passed_on()
+        if names:
+            yield passed_on()
+
+    some = held.where(F.col("_h") > 0).select("_g", "_v", "_h").mapInArrow(run, "_g long, point int, s double")
+    grid = spark.range(points).select(F.col("id").cast("int").alias("point"))
+    sums = stats.crossJoin(F.broadcast(grid)).join(some.groupBy("_g", "point").agg(F.sum("s").alias("_s")), ["_g", "point"], "left")
+    value = F.when(F.col("_h") > 0, F.coalesce("_s", F.lit(0.0)) / (F.col("_N") * F.col("_h") * math.sqrt(2 * math.pi)))
+    return sums.select(*groups, "point", (F.lit(lo) + F.col("point") * F.lit(step)).alias("x"), value.alias("density"))
 
 
 def box_plot(df: DataFrame, column, group_by=None, whisker=1.5):

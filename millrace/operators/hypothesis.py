@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import dist
+from millrace.operators.bootstrap import bootstrap_ci  # noqa: F401
 from millrace.operators.columns import numeric_or
 from millrace.operators.moments import kurt, skew
 from millrace.plans import batches
@@ -185,36 +186,6 @@ def dagostino(n, g1, g2):
     return z1 * z1 + z2 * z2
 
 
-# Cumulative probabilities of a Poisson count with mean 1, for counts 0 to 9.
-POISSON_CUMULATIVE = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317,
-                      0.99940581518, 0.99991675885, 0.99998980337, 0.99999887448, 0.99999988857)
-
-
-def bootstrap_ci(df: DataFrame, column, key, statistic="mean", n_bootstrap=1000, ci=0.95, seed=42, denominator=None):
-    """Percentile interval of mean, sum, std or ratio under Poisson resampling.
-
-    Every row gets a weight of its own in every replicate, at any size, in one partially aggregated
-    pass; the cost is rows times replicates. Rows of one key share their weights. A callable statistic gets the weighted sums (sum, square, denominator, count) and returns a Column.
-    """
-    keys = [key] if isinstance(key, str) else list(key)
-    v, d = number(column), (number(denominator) if denominator else F.lit(1.0))
-    rows = df.where(v.isNotNull()).select(F.xxhash64(F.lit(seed), *keys).alias("_b"), v.alias("s"), (v * v).alias("q"), d.alias("d"), F.lit(1).alias("c"))
-    draws = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("_i"))
-    u = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_b"), F.col("_i")), F.lit(2**52)) / F.lit(float(2**52))
-    weight = F.lit(0)
-    for p in POISSON_CUMULATIVE:
-        weight = weight + (u >= F.lit(p)).cast("int")
-    w = F.col("_w")
-    s, q, dd, c = (F.sum(w * F.col(x)) for x in ("s", "q", "d", "c"))
-    if callable(statistic):
-        value = statistic({"sum": s, "square": q, "denominator": dd, "count": c})
-    else:
-        value = {"mean": s / c, "sum": s, "ratio": s / dd, "std": F.sqrt((q - s * s / c) / (c - 1))}[statistic]
-    reps = draws.withColumn("_w", weight).groupBy("_i").agg(value.alias("v"))
-    tail = (1 - ci) / 2
-    return reps.agg(F.percentile("v", F.lit(tail)).alias("lower"), F.percentile("v", F.lit(1 - tail)).alias("upper"), F.avg("v").alias("center"), F.count("*").alias("replicates"))
-
-
 def vif(df: DataFrame, columns=None):
     """Variance inflation of every column given the others, without an intercept."""
     cols = numeric_or(df, columns)
