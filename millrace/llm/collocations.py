@@ -36,7 +36,7 @@ TRIE_PHRASES = 250_000
 #: Bits of the bitmap of frequent hashes that is sent to the tasks (16 MB), whatever the size of the corpus.
 BITMAP = 27
 #: Distinct hashes that a task holds before it passes them on.
-HELD = 2_000_000
+HELD = 400_000
 DIGIT = 12
 #: Families of at least so many children are placed one by one.
 LARGE = 64
@@ -58,7 +58,10 @@ class Words:
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
         # A line feed after every text, so that no word goes on in the next one.
         chars = np.full(len(data) + len(texts), 10, np.uint8)
-        chars[np.arange(len(data)) + np.repeat(np.arange(len(texts)), np.diff(ends))] = _LOWER[data]
+        at = np.arange(len(data), dtype=np.int32)
+        at += np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))
+        chars[at] = _LOWER[data]
+        del at
         kind = _CLASS[chars]
         inside = kind == 0
         edges = np.diff(inside.view(np.int8), prepend=0)
@@ -109,19 +112,21 @@ def encoded(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             yield pa.record_batch([pa.array([first + number]), *[pa.array([v], pa.binary()) for v in values]], names=[c.split()[0] for c in BLOCK.split(", ")])
 
     texts = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    return table(texts.mapInArrow(run, BLOCK))
+    # Small row groups: a task of a later pass holds few blocks at once.
+    return table(texts.mapInArrow(run, BLOCK), **{"parquet.block.size": str(8 << 20)})
 
 
 class Block:
-    """A block as read back; `lang` is the number of the language of every word."""
+    """A block as read back, without the columns that were not read; `lang` is the number of the language of every word."""
 
     def __init__(self, batch: pa.RecordBatch, row: int):
         def buffer(name):
             return batch.column(name)[row].as_buffer()
 
         self.number = batch.column("block")[row].as_py()
-        self.names, self.langs = _read(buffer("names")), _read(buffer("langs"))
-        self.hashes, self.code = np.frombuffer(buffer("hashes"), np.uint64), np.frombuffer(buffer("code"), np.int32)
+        self.langs, self.code = _read(buffer("langs")), np.frombuffer(buffer("code"), np.int32)
+        self.names = _read(buffer("names")) if "names" in batch.schema.names else None
+        self.hashes = np.frombuffer(buffer("hashes"), np.uint64) if "hashes" in batch.schema.names else None
         self.joined = np.unpackbits(np.frombuffer(buffer("joined"), np.uint8), count=len(self.code)).view(bool)
         self.lang = np.repeat(np.frombuffer(buffer("lang"), np.int32), np.frombuffer(buffer("words"), np.int32))
 
@@ -211,7 +216,7 @@ def _hash_counts(held: DataFrame, bitmaps: list, least: int, mask: int) -> DataF
         if rest is not None:
             yield batch(rest)
 
-    counts = held.mapInArrow(run, "h long, n long, block long").groupBy("h").agg(F.sum("n").alias("n"), F.min("block").alias("block"))
+    counts = held.drop("names").mapInArrow(run, "h long, n long, block long").groupBy("h").agg(F.sum("n").alias("n"), F.min("block").alias("block"))
     found = table(counts.where(F.col("n") >= least).select(F.lit(size).alias("size"), "h", "n", "block"))
     sent.unpersist()
     return found
@@ -412,7 +417,7 @@ def _counted(held: DataFrame, trie: Trie, shard: int) -> DataFrame:
             number = np.flatnonzero(total)
             yield pa.record_batch({"shard": pa.array(np.full(len(number), shard, np.int32)), "number": pa.array(number.astype(np.int32)), "n": pa.array(total[number])})
 
-    sums = table(held.mapInArrow(run, "shard int, number int, n long").groupBy("shard", "number").agg(F.sum("n").alias("n")))
+    sums = table(held.drop("hashes").mapInArrow(run, "shard int, number int, n long").groupBy("shard", "number").agg(F.sum("n").alias("n")))
     sent.destroy()
     return sums
 

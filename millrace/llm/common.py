@@ -34,10 +34,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def table(df: DataFrame) -> DataFrame:
-    """As cut(), as Parquet: smaller, and later scans read only the columns they need."""
+def table(df: DataFrame, **options) -> DataFrame:
+    """As cut(), as Parquet: smaller, and later scans read only the columns they need. `options` go to the writer."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/millrace-llm/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
