@@ -33,10 +33,11 @@ from millrace.llm.common import blocks, table
 WORDS = 3
 #: Phrases of a trie, of which a task holds one; more phrases make more tries.
 TRIE_PHRASES = 250_000
-#: Bits of the bitmap of frequent hashes that is sent to the tasks (16 MB), whatever the size of the corpus.
-BITMAP = 27
-#: Distinct hashes that a task holds before it passes them on.
-HELD = 400_000
+#: A bitmap of hashes that is sent to the tasks has 2**BITMAP[0] to 2**BITMAP[1] bits (at most 16 MB), of these some
+#: BITS_A_HASH per hash; beyond that more false hits add candidates.
+BITMAP, BITS_A_HASH = (18, 27), 16
+#: Distinct hashes that a task holds before it passes them on, and bytes of the texts of a block.
+HELD, BLOCK_BYTES = 200_000, 2 << 20
 DIGIT = 12
 #: Families of at least so many children are placed one by one.
 LARGE = 64
@@ -104,7 +105,7 @@ def encoded(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         first = TaskContext.get().partitionId() << 32
-        for number, part in enumerate(blocks(batches, 0)):
+        for number, part in enumerate(blocks(batches, 0, BLOCK_BYTES)):
             words, langs = Words(part.column(0)), part.column(1).fill_null("und").dictionary_encode()
             hashes = np.array([xxhash.xxh64_intdigest(x) for x in words.names.cast(pa.large_binary()).to_pylist()], np.uint64)
             values = [_stored(words.names), hashes.tobytes(), words.code.astype(np.int32).tobytes(), np.packbits(words.joined).tobytes(), _stored(langs.dictionary)]
@@ -218,15 +219,16 @@ def _hash_counts(held: DataFrame, bitmaps: list, least: int, mask: int) -> DataF
 
     counts = held.drop("names").mapInArrow(run, "h long, n long, block long").groupBy("h").agg(F.sum("n").alias("n"), F.min("block").alias("block"))
     found = table(counts.where(F.col("n") >= least).select(F.lit(size).alias("size"), "h", "n", "block"))
-    sent.unpersist()
+    sent.destroy()
     return found
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """The lowest BITMAP bits of the hashes h as a bitmap; collected in parts of 4 KB, of fixed total size."""
-    place = F.col("h").bitwiseAND(F.lit((1 << BITMAP) - 1)) + 1
+def _bitmap(hashes: DataFrame, count: int) -> np.ndarray:
+    """The lowest bits of `count` hashes h as a bitmap, collected in parts of 4 KB; its size has a bound whatever the count."""
+    bits = min(BITMAP[1], max(BITMAP[0], (count * BITS_A_HASH).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1)) + 1
     parts = hashes.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = np.zeros(1 << (BITMAP - 3), np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for r in parts.toLocalIterator():
         out[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -240,7 +242,7 @@ def _spelled(held: DataFrame, bitmaps: list, wanted: DataFrame, mask: int, every
             h = b.column("h").to_numpy().view(np.uint64)
             yield pa.record_batch([pa.array(at_block(h, 0 if everywhere else b.column("block").to_numpy()).view(np.int64))], names=["h"])
 
-    sent = held.sparkSession.sparkContext.broadcast([*bitmaps, _bitmap(wanted.mapInArrow(where, "h long"))])
+    sent = held.sparkSession.sparkContext.broadcast([*bitmaps, _bitmap(wanted.mapInArrow(where, "h long"), wanted.count())])
 
     def run(batches):
         *known, asked = sent.value
@@ -259,7 +261,9 @@ def _spelled(held: DataFrame, bitmaps: list, wanted: DataFrame, mask: int, every
 
     found = held.mapInArrow(run, "size int, h long, lang string, phrase string").distinct()
     # The bitmap may let more through; the hashes themselves do not.
-    return found.join(wanted.select("size", "h"), ["size", "h"], "left_semi")
+    phrases = table(found.join(wanted.select("size", "h"), ["size", "h"], "left_semi"))
+    sent.destroy()
+    return phrases
 
 
 def double_array(symbols: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -424,7 +428,6 @@ def _counted(held: DataFrame, trie: Trie, shard: int) -> DataFrame:
 
 def count_phrases(held: DataFrame, phrases: DataFrame) -> DataFrame:
     """(size, h, lang, phrase, n): the phrases (size, h, lang, phrase) with their exact counts, by one trie after the other."""
-    phrases = table(phrases)
     shards = max(1, math.ceil(phrases.count() / TRIE_PHRASES))
     dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
     tries = table(dealt.groupBy("shard").applyInArrow(build, BUILT_DDL))
@@ -446,7 +449,7 @@ def phrase_counts(held: DataFrame, least: int, mask: int = 2**64 - 1) -> DataFra
     bitmaps, hashes = [], []
     for _ in range(WORDS):
         hashes.append(_hash_counts(held, bitmaps, least, mask))
-        bitmaps.append(_bitmap(hashes[-1]))
+        bitmaps.append(_bitmap(hashes[-1], hashes[-1].count()))
     wanted = hashes[0]
     for more in hashes[1:]:
         wanted = wanted.union(more)
@@ -456,7 +459,7 @@ def phrase_counts(held: DataFrame, least: int, mask: int = 2**64 - 1) -> DataFra
     shared = table(wanted.join(seen, ["size", "h"], "left").where(F.coalesce("seen", F.lit(0)) < F.col("n")).select("size", "h", "block"))
     if not shared.isEmpty():
         others = _spelled(held, bitmaps, shared, mask, everywhere=True).join(counts, ["size", "lang", "phrase"], "left_anti")
-        counts = counts.union(count_phrases(held, others.select("size", "h", "lang", "phrase")))
+        counts = counts.union(count_phrases(held, table(others.select("size", "h", "lang", "phrase"))))
     return table(counts.where(F.col("n") >= least).select("lang", "phrase", "size", "n"))
 
 

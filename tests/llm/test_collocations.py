@@ -71,7 +71,7 @@ def test_matches_brute_force(spark, least, share, top):
 def test_many_tries_small_bitmaps_and_bounded_tallies(spark, monkeypatch):
     # Colliding hashes, full bitmaps and flushed tallies may add candidates, never change a count.
     monkeypatch.setattr(collocations, "TRIE_PHRASES", 300)
-    monkeypatch.setattr(collocations, "BITMAP", 15)
+    monkeypatch.setattr(collocations, "BITMAP", (15, 15))
     monkeypatch.setattr(collocations, "HELD", 50)
     rows = corpus(8, 400, 300)
     df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
