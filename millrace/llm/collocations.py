@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, table
+from millrace.llm.common import arrow_rows, blocks, table
 
 WORDS = 3
 #: Phrases of a trie, of which a task holds one; more phrases make more tries.
@@ -36,8 +36,8 @@ TRIE_PHRASES = 250_000
 #: A bitmap of hashes that is sent to the tasks has 2**BITMAP[0] to 2**BITMAP[1] bits (at most 16 MB), of these some
 #: BITS_A_HASH per hash; beyond that more false hits add candidates.
 BITMAP, BITS_A_HASH = (18, 27), 16
-#: Distinct hashes that a task holds before it passes them on, and bytes of the texts of a block.
-HELD, BLOCK_BYTES = 200_000, 2 << 20
+#: Distinct hashes that a task holds before it passes them on; bytes of the texts of a block; blocks of an Arrow batch.
+HELD, BLOCK_BYTES, BATCH_BLOCKS = 200_000, 2 << 20, 2
 DIGIT = 12
 #: Families of at least so many children are placed one by one.
 LARGE = 64
@@ -113,8 +113,9 @@ def encoded(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             yield pa.record_batch([pa.array([first + number]), *[pa.array([v], pa.binary()) for v in values]], names=[c.split()[0] for c in BLOCK.split(", ")])
 
     texts = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    # Small row groups: a task of a later pass holds few blocks at once.
-    return table(texts.mapInArrow(run, BLOCK), **{"parquet.block.size": str(8 << 20)})
+    # Small row groups and batches: a task holds few texts and, in a later pass, few blocks at once.
+    with arrow_rows(docs.sparkSession, 1000):
+        return table(texts.mapInArrow(run, BLOCK), **{"parquet.block.size": str(8 << 20)})
 
 
 class Block:
@@ -218,7 +219,8 @@ def _hash_counts(held: DataFrame, bitmaps: list, least: int, mask: int) -> DataF
             yield batch(rest)
 
     counts = held.drop("names").mapInArrow(run, "h long, n long, block long").groupBy("h").agg(F.sum("n").alias("n"), F.min("block").alias("block"))
-    found = table(counts.where(F.col("n") >= least).select(F.lit(size).alias("size"), "h", "n", "block"))
+    with arrow_rows(held.sparkSession, BATCH_BLOCKS):
+        found = table(counts.where(F.col("n") >= least).select(F.lit(size).alias("size"), "h", "n", "block"))
     sent.destroy()
     return found
 
@@ -261,7 +263,8 @@ def _spelled(held: DataFrame, bitmaps: list, wanted: DataFrame, mask: int, every
 
     found = held.mapInArrow(run, "size int, h long, lang string, phrase string").distinct()
     # The bitmap may let more through; the hashes themselves do not.
-    phrases = table(found.join(wanted.select("size", "h"), ["size", "h"], "left_semi"))
+    with arrow_rows(held.sparkSession, BATCH_BLOCKS):
+        phrases = table(found.join(wanted.select("size", "h"), ["size", "h"], "left_semi"))
     sent.destroy()
     return phrases
 
@@ -421,7 +424,8 @@ def _counted(held: DataFrame, trie: Trie, shard: int) -> DataFrame:
             number = np.flatnonzero(total)
             yield pa.record_batch({"shard": pa.array(np.full(len(number), shard, np.int32)), "number": pa.array(number.astype(np.int32)), "n": pa.array(total[number])})
 
-    sums = table(held.drop("hashes").mapInArrow(run, "shard int, number int, n long").groupBy("shard", "number").agg(F.sum("n").alias("n")))
+    with arrow_rows(held.sparkSession, BATCH_BLOCKS):
+        sums = table(held.drop("hashes").mapInArrow(run, "shard int, number int, n long").groupBy("shard", "number").agg(F.sum("n").alias("n")))
     sent.destroy()
     return sums
 
