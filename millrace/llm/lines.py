@@ -12,9 +12,13 @@ line in steps of STEP, so most lines probe with five substrings. Substrings are
 hashes. Of pairs that meet, those that share enough of eight finer pieces are verified by a banded
 bit-parallel edit distance over code points.
 
-A segment that more than CELL_LINES distinct lines share is not paired as it is: two lines that share it
-are within reach only if what is left of them is, so the join is repeated within that group for the rest
-of the lines, and so on; a rest of less than STEP characters is paired as it is.
+A segment that more than CELL_LINES distinct lines share is not paired. Such lines are cut into PIECES finer
+pieces instead, and probe with all of them but one or two: two edits fall either into one piece, or into two
+pieces with one edit in each. So a pair meets in the one group of the pieces that its edits touch, and only
+if the touched pieces differ. In a group that is still crowded the pieces that may differ are cut again in the
+same way, down to SHORT characters. Shorter rests get a key for every way to spend their edits on them
+(a place left open, a character left out); equal keys prove the distance, so the least place of a key decides
+without pairs. The keys of a line depend on its length alone, never on how many others are like it.
 """
 
 from __future__ import annotations
@@ -30,12 +34,13 @@ MIN_CHARS, NEAR_CHARS = 10, 30
 STEP = 16
 CELL_LINES = 50
 PIECES = 8
-#: Rows of a side that is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+SHORT = 10
+#: Rows of fixed width, and rows that hold an array of line numbers, of a side that is broadcast (some 10 MB); beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_LISTS = 300_000, 100_000
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -80,14 +85,6 @@ def _keyed(lines: DataFrame, *more: str) -> DataFrame:
     return lines.select("id", "pos", *more, "chars", F.posexplode("keys").alias("number", "key")).where("key is not null")
 
 
-def _rest(line: Column, chars: Column, number: Column) -> Column:
-    """The line without the substring of a key."""
-    out = F.lit(None).cast("string")
-    for k, (_, _, start, length) in enumerate(_places(chars)):
-        out = F.when(number == k, F.concat(F.substring(line, F.lit(1), start - 1), F.substring(line, start + length, chars))).otherwise(out)
-    return out
-
-
 def _pairs(rows: DataFrame) -> DataFrame:
     """Candidates (earlier, later) among rows (id, pos, chars, number, key) that share a key, a segment of either."""
     x, y = rows.where(F.col("number") < SEGMENTS).alias("x"), rows.alias("y")
@@ -162,40 +159,216 @@ def shares_pieces(left: Column, right: Column, k: int = EDITS) -> Column:
 
 def near_lines(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos) of the distinct lines that lie within reach of an earlier one. first: table of first occurrences."""
-    keyed = _keyed(first.where("keys is not null"))
-    found, rests = [], None
-    while True:
-        sizes = table(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("number").alias("least")).where(f"n > 1 and least < {SEGMENTS}").select("key", "n"))
-        rows = sizes.agg(F.count("*"), F.count(F.when(F.col("n") > CELL_LINES, 1))).first()
-        met = table(keyed.join(_small(sizes, rows[0]), "key"))
-        # What is left of a line may be too short to be cut again; it is paired as it is.
-        paired = (F.col("n") <= CELL_LINES) | (F.col("chars") < 2 * STEP)
-        found.append(_pairs(met.where(paired)))
-        hot = met.where(~paired)
-        if not rows[1] or hot.isEmpty():
-            break
-        # The rest of the lines of a crowded segment, within the group of that segment.
-        if rests is None:
-            joined = _joined(_fetch(docs, hot.select("id", "pos").distinct(), id_col, text_col), hot, ["id", "pos"])
-        else:
-            joined = _joined(hot, rests.select("id", "pos", "group", "line"), ["id", "pos", "group"])
-        rest = _rest(F.col("line"), F.col("chars"), F.col("number")).alias("line")
-        rests = joined.select("id", "pos", rest, F.col("key").alias("group")).distinct().withColumn("chars", F.length("line"))
-        rests = table(rests.withColumn("keys", _keys(F.col("line"), F.col("chars"), F.col("group"))))
-        keyed = _keyed(rests, "group")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    pairs = table(pairs.distinct())
-    return _verified(docs, pairs, id_col, text_col)
+    met, crowded = _met(_keyed(first.where("keys is not null")).withColumn("index", F.col("number") < SEGMENTS))
+    pairs, proven = [_pairs(met.where(F.col("n") <= CELL_LINES))], []
+    if crowded is not None:
+        lines = _fetch(docs, met.where(F.col("n") > CELL_LINES).select("id", "pos").distinct(), id_col, text_col)
+        more, proven = _crowded(lines)
+        pairs += more
+    found = _verified(docs, table(_union(pairs).distinct()), id_col, text_col)
+    return _union([found, *proven]).distinct()
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
+
+
+def _met(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (..., key, index) whose key several rows share, an index row among them, with the count n of the key;
+    and the keys of more than CELL_LINES rows, None if there are none."""
+    sizes = table(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("index").alias("held")).where("n > 1 and held").select("key", "n"))
+    some, hot = sizes.agg(F.count("*"), F.count(F.when(F.col("n") > CELL_LINES, 1))).first()
+    return table(rows.join(_small(sizes, some), "key")), sizes.where(F.col("n") > CELL_LINES).select("key") if hot else None
+
+
+def _step(chars: Column) -> Column:
+    return chars - chars % F.when(chars >= 8 * PIECES, STEP).otherwise(4)
+
+
+def _windows(rows: DataFrame, two: bool) -> DataFrame:
+    """Rows (id, pos, group, s, v, t) with a row for every choice of pieces of s that may differ: one piece, or
+    with `two` also two of them.
+
+    Added are key, a hash of the rest of s; index, if the pieces are cut as the line's own length says; u and w,
+    the pieces left out (w null for one). The place of the second piece shifts by one where an edit in the first
+    inserts or leaves out a character; both follow the steps of the length of either line of a pair.
+    """
+    cuts = [(i, i, 0) for i in range(PIECES)]
+    if two:
+        cuts += [(i, j, d) for i in range(PIECES) for j in range(i + 1, PIECES) for d in (0, 1, -1)]
+    chars, size = F.col("chars"), F.col("size")
+
+    def bound(piece):
+        return F.shiftright(size * piece, 3)
+
+    made = rows.withColumn("chars", F.length("s"))
+    made = made.withColumn("size", F.explode(F.array_distinct(F.array(_step(chars), _step(chars - EDITS)))))
+    made = made.withColumn("cut", F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("ijd", c, strict=True)]) for c in cuts])))
+    i, j, d = (F.col(f"cut.{n}") for n in "ijd")
+    tail = chars - size + bound(j + 1)
+    start, stop, again = bound(i), bound(i + 1) + d, bound(j) + d
+    single = i == j
+    rest = F.xxhash64("group", "size", i, j, F.substring("s", F.lit(1), start), F.when(~single, F.substring("s", stop + 1, again - stop)), F.substring("s", tail + 1, chars))
+    u = F.substring("s", start + 1, F.when(single, tail).otherwise(stop) - start)
+    w = F.when(~single, F.substring("s", again + 1, tail - again))
+    made = made.withColumns({"key": rest, "index": (d == 0) & (size == _step(chars)), "u": u, "w": w})
+    return made.drop("chars", "size", "cut", "s", "group")
+
+
+#: How a rest that spends one edit meets its partner: whole with one character left out, or both with the same place open.
+WHOLE, LESS, OPEN = 0, 1, 2
+_PARTNER = {WHOLE: LESS, LESS: WHOLE, OPEN: OPEN}
+
+
+def _partner(t: Column) -> Column:
+    return F.when(t == WHOLE, LESS).when(t == LESS, WHOLE).otherwise(t)
+
+
+def _scripts(edits: int) -> Column:
+    """Keys (key, open, less) of s in its group: every way to leave `open` places open and `less` characters out, of `edits` at most."""
+    s, group = F.col("s"), F.col("group")
+    places = F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s))).otherwise(F.array().cast("array<int>"))
+
+    def without(text, at):
+        return F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, F.length(s)))
+
+    def script(open_, less, *parts):
+        return F.struct(F.xxhash64(group, F.lit(open_), *parts).alias("key"), F.lit(open_).alias("open"), F.lit(less).alias("less"))
+
+    found = [F.array(script(0, 0, s)), F.transform(places, lambda i: script(1, 0, i, without(s, i))), F.transform(places, lambda i: script(0, 1, without(s, i)))]
+    if edits > 1:
+
+        def both(i):
+            def of(j):
+                rest = without(without(s, j), i)
+                # Of an open place and one left out, the open one counts its place in what is left.
+                return F.array(script(2, 0, i, j, rest), script(0, 2, rest), script(1, 1, i, rest), script(1, 1, j - 1, rest))
+
+            return F.flatten(F.transform(F.filter(places, lambda j: j > i), of))
+
+        found.append(F.flatten(F.transform(places, both)))
+    return F.array_distinct(F.concat(*found))
+
+
+def _place() -> Column:
+    return F.struct("id", "pos")
+
+
+def _crowded(lines: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Candidates (earlier, later), and proven (id, pos), among lines (id, pos, line) of crowded segments.
+
+    Two kinds of rows are cut on: those with two edits to find in s, and those with one in s and, if v is
+    not null, one in v; t tells how an edit that is already settled was spent.
+    """
+    pairs, proven = [], []
+    blank = F.lit(None)
+    # Rests between the two lengths are treated in both ways: the other one of a pair may be shorter or longer.
+    short = F.length("s") < SHORT + EDITS
+    two = lines.select("id", "pos", F.lit(0).cast("long").alias("group"), F.col("line").alias("s"))
+    one = None
+    while two is not None or one is not None:
+        later = []
+        if two is not None:
+            two = table(two)
+            proven.append(_proven_two(two.where(short)))
+            long = two.where(F.length("s") >= SHORT).withColumns({"v": blank.cast("string"), "t": blank.cast("int")})
+            some, two, both = _cut(long, True)
+            pairs.append(some)
+            later += both
+        if one is not None:
+            one = table(one)
+            proven.append(_proven_one(one.where(short & F.col("v").isNull())))
+            some, rest = _settled(one.where(short & F.col("v").isNotNull()))
+            pairs.append(some)
+            later += rest
+            some, _, both = _cut(one.where(F.length("s") >= SHORT), False)
+            pairs.append(some)
+            later += both
+        one = _union(later) if later else None
+    return pairs, proven
+
+
+def _differ(a: str, b: str) -> Column:
+    """Whether two hashes differ, or there is nothing to compare."""
+    return F.col(a).isNull() | (F.col(a) != F.col(b))
+
+
+def _pairs_of(met: DataFrame) -> DataFrame:
+    """Candidates among rows (id, pos, key, index, hu, hw, hv, t) of uncrowded keys: what was left out differs, and
+    edits settled before fit each other."""
+    x, y = met.where("index").alias("x"), met.alias("y")
+    fit = (F.col("x.key") == F.col("y.key")) & _differ("x.hu", "y.hu") & _differ("x.hw", "y.hw") & _differ("x.hv", "y.hv")
+    fit = fit & (F.col("x.t").isNull() | (F.col("y.t") == _partner(F.col("x.t"))))
+    a, b = F.struct("x.id", "x.pos"), F.struct("y.id", "y.pos")
+    return x.join(y, fit & (a != b)).select(F.least(a, b).alias("earlier"), F.greatest(a, b).alias("later")).distinct()
+
+
+def _hash(name: str) -> Column:
+    return F.when(F.col(name).isNotNull(), F.xxhash64(name))
+
+
+def _cut(rows: DataFrame, two: bool) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """Candidates among rows with one piece less (or two), and what is left of those in crowded groups: rows with
+    two edits to find, None if there are none, and a list of those with one."""
+    keyed = _windows(rows, two).select("id", "pos", "t", "key", "index", _hash("u").alias("hu"), _hash("w").alias("hw"), _hash("v").alias("hv"))
+    met, crowded = _met(keyed)
+    pairs = _pairs_of(met.where(F.col("n") <= CELL_LINES))
+    if crowded is None:
+        return pairs, None, []
+    left = table(_windows(rows, two).join(crowded, "key")).withColumnRenamed("key", "group")
+    if not two:
+        return pairs, None, [left.select("id", "pos", "group", F.col("u").alias("s"), "v", "t").distinct()]
+    single = left.where("w is null").select("id", "pos", "group", F.col("u").alias("s")).distinct()
+    double = left.where("w is not null").select("id", "pos", "group", F.col("u").alias("s"), F.col("w").alias("v"), "t").distinct()
+    return pairs, None if single.isEmpty() else single, [] if double.isEmpty() else [double]
+
+
+def _settled(short: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows of a short s and of v: those whose s are one edit apart meet, and go on with v in place of s."""
+    rows = short.select("id", "pos", "v", F.explode(_scripts(1)).alias("x")).select("id", "pos", "v", "x.key", F.when(F.col("x.open") == 1, OPEN).otherwise(F.col("x.less")).alias("t"))
+    keyed = rows.select("id", "pos", "t", "key", F.lit(True).alias("index"), F.lit(None).cast("long").alias("hu"), F.lit(None).cast("long").alias("hw"), _hash("v").alias("hv"))
+    met, crowded = _met(keyed)
+    pairs = _pairs_of(met.where(F.col("n") <= CELL_LINES))
+    if crowded is None:
+        return pairs, []
+    return pairs, [rows.join(crowded, "key").select("id", "pos", F.col("key").alias("group"), F.col("v").alias("s"), F.lit(None).cast("string").alias("v"), "t")]
+
+
+def _proven_two(short: DataFrame) -> DataFrame:
+    """(id, pos) of rows (id, pos, group, s) with an earlier one of the group within two edits."""
+    keyed = table(short.select(_place().alias("place"), F.explode(_scripts(2)).alias("x")).select("place", "x.*"))
+    least = keyed.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.when(F.col("less") == e, F.col("place"))).alias(f"m{e}") for e in range(EDITS + 1)]).where("n > 1").drop("n")
+    met = keyed.join(least, "key")
+    near = F.lit(False)
+    for e in range(EDITS + 1):
+        near = near | ((F.col("open") + F.col("less") + e <= EDITS) & F.coalesce(F.col(f"m{e}") < F.col("place"), F.lit(False)))
+    return met.where(near).select("place.*").distinct()
+
+
+def _proven_one(short: DataFrame) -> DataFrame:
+    """(id, pos) of rows (id, pos, group, s, t) with an earlier one of the group that has at most one edit in s and a fitting t."""
+    how = F.when(F.col("x.open") == 1, OPEN).otherwise(F.col("x.less"))
+    keyed = table(short.select(_place().alias("place"), "t", F.explode(_scripts(1)).alias("x")).select("place", "t", "x.key", how.alias("h")))
+    kinds = [(a, b) for a in _PARTNER for b in _PARTNER]
+    least = keyed.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.when((F.col("t") == a) & (F.col("h") == b), F.col("place"))).alias(f"m{a}{b}") for a, b in kinds]).where("n > 1").drop("n")
+    near = F.lit(False)
+    for a, b in kinds:
+        near = near | ((F.col("t") == a) & (F.col("h") == b) & F.coalesce(F.col(f"m{_PARTNER[a]}{_PARTNER[b]}") < F.col("place"), F.lit(False)))
+    return keyed.join(least, "key").where(near).select("place.*").distinct()
 
 
 def _fetch(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, line) of places (id, pos) of documents."""
-    wanted = table(places.groupBy("id").agg(F.collect_list("pos").alias("wanted")))
-    held = _joined(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), _small(wanted, wanted.count()), ["id"])
-    lines = held.select("id", F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("pos"))
-    return lines.select("id", "pos", F.get("lines", F.col("pos")).alias("line")).distinct()
+    """(id, pos, line) of places (id, pos) of documents. Places that one id has many of, as repeated ids have, are
+    never gathered: the lines of such documents are taken apart and meet their places one by one."""
+    wanted = table(places.groupBy("id", F.floor(F.col("pos") / 4096).alias("part")).agg(F.collect_set("pos").alias("wanted")))
+    ids = wanted.select("id").distinct()
+    held = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    held = _joined(held, _small(ids, ids.count()), ["id"], "left_semi")
+    lines = _joined(held, _small(wanted, wanted.count(), BROADCAST_LISTS), ["id"]).select("id", F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("pos"))
+    return lines.select("id", "pos", F.get("lines", F.col("pos")).alias("line")).where("line is not null").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -234,12 +407,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are replaced.
     """
     source = docs.drop("n_lines", "n_dropped")
-    gone = table(dropped_lines(docs, id_col, text_col).select(F.col("id").alias("gone_id"), "dropped"))
-    met = source.join(_small(gone, gone.count()), source[id_col].eqNullSafe(F.col("gone_id")), "left")
-    lines = F.split(text_col, "\n", -1)
+    gone = table(dropped_lines(docs, id_col, text_col))
+    # The source goes into one column, so that no name of it can clash with those of the join.
+    held = source.select(F.struct(*[source[c] for c in source.columns]).alias("source"))
+    met = held.join(_small(gone, gone.count(), BROADCAST_LISTS), F.col("source").getField(id_col).eqNullSafe(F.col("id")), "left")
+    old = F.col("source").getField(text_col)
+    lines = F.split(old, "\n", -1)
     kept = let(lines, lambda held: F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.col("dropped")), lambda at: F.get(held, at)))
-    text = F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    counted = met.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_dropped": F.coalesce(F.size("dropped"), F.lit(0))})
-    counted = counted.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")))
-    counted = counted.withColumn("n_dropped", F.when(F.col("dropped").isNull(), 0).otherwise(F.col("n_dropped")))
-    return counted.withColumn(text_col, text).drop("gone_id", "dropped")
+    text = F.when(F.col("dropped").isNull(), old).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(old.isNull(), 0).otherwise(F.size(lines))
+    n_dropped = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped"))
+    columns = [(text if c == text_col else F.col("source").getField(c)).alias(c) for c in source.columns]
+    return met.select(*columns, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import lines
@@ -69,22 +70,76 @@ def test_matches_brute_force(spark):
     assert got == brute(docs)
 
 
-def test_crowded_segments(spark, monkeypatch):
-    monkeypatch.setattr(lines, "CELL_LINES", 3)  # so that groups are joined by what is left of their lines
-    rng, docs = random.Random(6), {}
+@pytest.mark.parametrize(("seed", "short", "middle"), [(6, 10, 20), (7, 16, 3), (9, 10, 60)])
+def test_crowded_segments(spark, monkeypatch, seed, short, middle):
+    monkeypatch.setattr(lines, "CELL_LINES", 3)  # so that crowded lines are cut finer
+    monkeypatch.setattr(lines, "SHORT", short)
+    rng, docs = random.Random(seed), {}
     for _ in range(4):
         head, tail = ("".join(rng.choice("abcdef ") for _ in range(60)) for _ in range(2))
         for _ in range(14):
-            middle = "".join(rng.choice("xyz") for _ in range(rng.randrange(18, 22)))
-            docs[len(docs)] = head + middle + tail
-            docs[len(docs)] = head + changed(rng, middle, rng.randrange(1, 3), "xyz") + tail
+            word = "".join(rng.choice("xyz") for _ in range(rng.randrange(max(0, middle - 2), middle + 2)))
+            docs[len(docs)] = head + word + tail
+            docs[len(docs)] = head + changed(rng, word, rng.randrange(1, 3), "xyz") + tail
+            docs[len(docs)] = changed(rng, head, 1, "xyz") + word + changed(rng, tail, 1, "xyz")
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(texts(spark, list(docs.items()))).collect()}
     want = brute(docs)
     assert got == want and sum(not t for t in want.values()) > 10
 
 
+def chars(rng, n):
+    return "".join(rng.choice("abcd") for _ in range(n))
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_keys_of_short_rests_prove_the_distance(spark, edits):
+    rng = random.Random(edits)
+    words = sorted({chars(rng, rng.randrange(0, 7)) for _ in range(150)})
+    rows = spark.createDataFrame([(i, 0, 5, w, lines.WHOLE) for i, w in enumerate(words)], "id long, pos int, group long, s string, t int")
+    if edits == 2:
+        got = {r["id"] for r in lines._proven_two(rows).collect()}
+        assert got == {i for i, w in enumerate(words) if any(distance(w, v) <= 2 for v in words[:i])}
+    else:
+        others = sorted({chars(rng, rng.randrange(0, 7)) for _ in range(60)})
+        both = rows.union(spark.createDataFrame([(1000 + i, 0, 5, w, lines.LESS) for i, w in enumerate(others)], rows.schema))
+        got = {r["id"] - 1000 for r in lines._proven_one(both).collect()}
+        assert got == {i for i, w in enumerate(others) if any(distance(w, v) <= 1 for v in words)}
+
+
+def test_every_pair_meets_in_one_window(spark):
+    rng, pairs = random.Random(12), []
+    for k in range(150):
+        a = chars(rng, rng.randrange(10, 140))
+        b = changed(rng, a, rng.randrange(1, 3), "xyz")
+        if min(len(a), len(b)) >= lines.SHORT:
+            pairs += [(2 * k, 0, k, a, None, None), (2 * k + 1, 0, k, b, None, None)]
+    rows = spark.createDataFrame(pairs, "id long, pos int, group long, s string, v string, t int")
+    keyed = lines._windows(rows, True).select("id", "pos", "t", "key", "index", lines._hash("u").alias("hu"), lines._hash("w").alias("hw"), lines._hash("v").alias("hv"))
+    met = {(r["earlier"]["id"], r["later"]["id"]) for r in lines._pairs_of(keyed).collect()}
+    assert met == {(p[0], q[0]) for p, q in zip(pairs[::2], pairs[1::2], strict=True) if p[3] != q[3]}
+
+
+def test_keys_of_a_large_family_grow_with_its_lines(spark, monkeypatch):
+    """Equal heads and tails with another word between: no pairs, and as many keys a line whatever the number of lines."""
+    rng = random.Random(13)
+    head, tail = chars(rng, 50), chars(rng, 50)
+    sizes, made = {}, []
+    for n in (200, 600):
+        made.clear()
+        rows = [(i, head + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) + tail) for i in range(n)]
+        with monkeypatch.context() as m:
+            kept, paired = lines._windows, lines._pairs_of
+            m.setattr(lines, "_windows", lambda *a: made.append(kept(*a)) or made[-1])
+            m.setattr(lines, "_pairs_of", lambda *a: made.append(paired(*a)) or made[-1])
+            got = lines.dedup_lines(texts(spark, rows))
+            assert got.where("n_dropped > 0").count() == 0
+            sizes[n] = sum(df.count() for df in made) / n
+    assert sizes[600] < 1.6 * sizes[200]
+
+
 def test_joins_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lines, "BROADCAST_LISTS", 0)
     docs = corpus(random.Random(8), 6, 5, 50)
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(texts(spark, list(docs.items()))).collect()}
     assert got == brute(docs)
@@ -110,3 +165,17 @@ def test_near_copies_of_a_null_id_go(spark):
     rows = [(None, "first line here of its own\n" + line), (5, line[:20] + "#" + line[20:]), (6, line.replace("lazy", "lady"))]
     got = {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(texts(spark, rows)).collect()}
     assert got == {None: 0, 5: 1, 6: 1}
+
+
+def test_columns_of_any_name(spark):
+    line = "a line that is long enough to go where it stands twice"
+    df = spark.createDataFrame([(1, line, 1, 2, 3, 4, 5), (2, line, 6, 7, 8, 9, 0)], "doc_id long, text string, dropped int, gone_id int, source int, `id` int, `a.b` int")
+    got = {r["doc_id"]: r for r in lines.dedup_lines(df).collect()}
+    assert got[2]["text"] == "" and got[2]["dropped"] == 6 and got[2]["gone_id"] == 7 and got[1]["a.b"] == 5 and got[1]["n_dropped"] == 0
+
+
+def test_many_rows_of_one_id(spark):
+    line = "the quick brown fox jumps over the lazy dog again"
+    rows = [(7, f"{line} {i * i * 7919} and so on to the end of it") for i in range(300)] + [(8, f"{line} 7919 and so on to the end  of it")]
+    got = lines.dedup_lines(texts(spark, rows))
+    assert got.count() == 301 and got.where("doc_id = 8").first()["n_dropped"] == 1
