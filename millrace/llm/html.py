@@ -126,7 +126,8 @@ class Page:
                     continue
                 if not skip:
                     self.items.append(("g", name, here))
-                if name in _void or name in _inline or source.endswith("/>"):
+                # Inline elements are not kept on the stack, but for those inside skipped ones of their name.
+                if name in _void or source.endswith("/>") or (name in _inline and not (skip and stack[skip - 1][0] == name)):
                     continue
                 stack.append((name, here))
                 if not skip and name in _containers:
@@ -135,7 +136,7 @@ class Page:
                     self.main.append(bool(is_main(name, source)))
                     here = len(self.parent) - 1
                 continue
-            if name in _inline or name in _void:
+            if name in _void or (name in _inline and not (skip and stack[skip - 1][0] == name)):
                 if not skip:
                     self.items.append(("g", name, here))
                 continue

@@ -1,6 +1,8 @@
 import html as entities
 import re
 
+import pytest
+
 from millrace.llm import html
 from millrace.llm.queries import op3_html_extraction
 
@@ -34,6 +36,13 @@ def test_parts_that_are_no_article():
     assert text(page) == "Heading of it First & foremost, a long paragraph with some—many words in it. Second paragraph with a break, and a few more words. End."
 
 
+@pytest.mark.parametrize("tag", ["a", "span", "small", "label", "b"])
+def test_inline_boilerplate_ends_at_its_own_tag(tag):
+    assert text(f"<article>Alpha beta <{tag} class='advert'>x</{tag}> gamma delta epsilon. <p>Next para words.</p> tail</article>") == "Alpha beta gamma delta epsilon. Next para words. tail"
+    assert text(f"<article><p>One two <{tag} class='share'>share <{tag}>it</{tag}> <i>now</i></{tag}> gamma delta.</p><p>More words here.</p></article>") == "One two gamma delta. More words here."
+    assert text(f"<article><p>One two <{tag} class='share'>never closed</p><p>More words here.</p></article>") == "One two More words here."
+
+
 def test_region_without_an_element_of_its_own():
     page = "<body><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul><h1>Head line</h1><p>Some words that make a text, quite a few of them.</p><p>More.</p></body>"
     assert text(page).endswith("Head line Some words that make a text, quite a few of them. More.")
