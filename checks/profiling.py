@@ -353,8 +353,7 @@ def a13(spark, sf):
 
 def _resample_sql(unit, step, label, agg, fill=False):
     v = f"ROUND({agg}, 6)"
-    return f"""WITH s AS (SELECT * FROM events WHERE event_type = 'purchase' OR user_id % 40 = 0),
- g AS (SELECT CAST(date_trunc('{unit}', ts) AS DATE) AS st, {v} AS value FROM s GROUP BY 1),
+    return f"""WITH g AS (SELECT CAST(date_trunc('{unit}', ts) AS DATE) AS st, {v} AS value FROM events GROUP BY 1),
  cal AS (SELECT CAST(unnest(generate_series(MIN(st), MAX(st), INTERVAL '{step}')) AS DATE) AS st FROM g)
  SELECT {label} AS period, {"COALESCE(value, 0)" if fill else "value"} AS value FROM cal LEFT JOIN g USING (st)"""
 
@@ -364,8 +363,7 @@ _PER = {"d": ("day", "1 day", "st"), "w": ("week", "7 days", "CAST(st + INTERVAL
 for _f, _how, _agg, _fill in (("d", "mean", "AVG(value)", False), ("w", "sum", "SUM(value)", True), ("m", "max", "MAX(value)", False),
                               ("q", "min", "MIN(value)", False), ("y", "count", "COUNT(value)", True)):
     def _run(spark, sf, f=_f, how=_how):
-        e = load(spark, sf, "events").where("event_type = 'purchase' OR user_id % 40 = 0")
-        return rounded(profile.resample(e, "ts", "value", f.upper(), how), 6)
+        return rounded(profile.resample(load(spark, sf, "events"), "ts", "value", f.upper(), how), 6)
 
     _sql = _resample_sql(*_PER[_f], _agg, _fill)
     check(f"a14_resample_{_f}", _sql.replace("ROUND(COUNT(value), 6)", "COUNT(value)"))(_run)

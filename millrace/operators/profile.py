@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.columns import numeric_columns, numeric_or, string_columns
 from millrace.operators.moments import kurt, skew
+from millrace.plans.distinct import distinct_counts
 from millrace.plans.quantiles import exact_quantiles, is_compact, melt, number
 from millrace.plans.sizing import keep
 
@@ -24,10 +25,6 @@ def null_counts(df: DataFrame):
     return row["_rows"], {c: row["_rows"] - row[c] for c in df.columns}
 
 
-def distinct_counts(df: DataFrame, columns):
-    return df.agg(*[F.count_distinct(c).alias(c) for c in columns])
-
-
 def duplicate_groups(df: DataFrame, subset=None):
     """Groups of equal rows with their size; NULLs compare equal."""
     keys = list(subset or df.columns)
@@ -73,19 +70,12 @@ def table_info(df: DataFrame):
 
 def column_info(df: DataFrame):
     """Type, non-null, null, null % and distinct count of every column."""
-    aggs = [F.count("*").alias("_rows")]
-    for i, c in enumerate(df.columns):
-        aggs += [F.count(c).alias(f"_n{i}"), F.count_distinct(c).alias(f"_d{i}")]
-    rows = [
-        F.struct(
-            F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
-            F.col(f"_n{i}").alias("non_null"), (F.col("_rows") - F.col(f"_n{i}")).alias("nulls"),
-            F.round((F.col("_rows") - F.col(f"_n{i}")) * 100.0 / F.col("_rows"), 2).alias("null_pct"),
-            F.col(f"_d{i}").alias("unique"),
-        )
-        for i, f in enumerate(df.schema)
-    ]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    rows, nulls = null_counts(df)
+    unique = distinct_counts(df, df.columns)
+    facts = [(f.name, f.dataType.simpleString(), rows - nulls[f.name], nulls[f.name], unique[f.name]) for f in df.schema]
+    out = df.sparkSession.createDataFrame(facts, "column string, type string, non_null long, nulls long, unique long")
+    share = F.round(F.try_divide(F.col("nulls") * 100.0, F.lit(rows)), 2)
+    return out.select("column", "type", "non_null", "nulls", share.alias("null_pct"), "unique")
 
 
 def _moments(c, tag):
@@ -223,9 +213,7 @@ def describe_table(df: DataFrame, numeric=None, categorical=None):
     num = numeric_or(df, numeric)
     cat = list(categorical if categorical is not None else string_columns(df))
     s = numeric_summary(df, num)
-    u = distinct_counts(df, num).select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("unique")) for c in num]))
-    )
+    u = df.sparkSession.createDataFrame(list(distinct_counts(df, num).items()), "column string, unique long")
     r = lambda c: F.round(c, 2).alias(c) if isinstance(c, str) else F.round(c, 2)
     left = s.join(u, "column").select(
         "column", "count", *[r(c) for c in ("mean", "std", "min", "q1", "median", "q3", "max", "skew", "kurtosis")],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.columns import datetime_columns, numeric_columns, replace_columns, string_columns
+from millrace.plans.distinct import settled_counts, sketched
 from millrace.plans.quantiles import melt, number
 
 # Name parts that mark identifiers, and date shapes looked for in text columns.
@@ -25,10 +26,15 @@ def to_datetime(c):
     return F.when(c.rlike("[-/:]"), parsed)
 
 
-def column_facts(df: DataFrame, parse=True):
+# The numbers of distinct values, and shares of the rows, at which a rule turns.
+COUNT_LIMITS, SHARE_LIMITS = (20, 100), (0.05, 0.1, 0.9)
+
+
+def column_facts(df: DataFrame, parse=True, counts=(), shares=()):
     """One row per column: class, rows, nonnull, uniques, mean text length, shares of parsable text.
 
-    ``parse=False`` leaves out the shares that need every text to be parsed.
+    ``parse=False`` leaves out the shares that need every text to be parsed. ``uniques`` is an estimate from a
+    sketch of the same pass, and exact near the limits of the rules (those above, ``counts`` and ``shares``).
     """
     num, txt, dat = numeric_columns(df), string_columns(df), datetime_columns(df)
     aggs = [F.count("*").alias("_rows")]
@@ -64,11 +70,13 @@ def column_facts(df: DataFrame, parse=True):
                 (F.col(f"whole{i}") if c in num else null("int")).alias("whole"),
             )
         )
-    # Distinct counts shuffle the distinct values, so they run apart from the shuffle-free facts.
-    uniques = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(df.columns)]).select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("uniques")) for i, c in enumerate(df.columns)]))
-    )
-    return df.agg(*aggs).select(F.inline(F.array(*items))).join(uniques, "column")
+    aggs += [sketched(c).alias(f"d{i}") for i, c in enumerate(df.columns)]
+    found = df.agg(*aggs)
+    first = found.select("_rows", *[f"d{i}" for i in range(len(df.columns))], F.array(*items).alias("_items")).first()
+    limits = [*COUNT_LIMITS, *[share * first["_rows"] for share in (*SHARE_LIMITS, *shares)], *counts]
+    uniques = settled_counts(df, {c: first[f"d{i}"] for i, c in enumerate(df.columns)}, limits)
+    rows = [(*r, uniques[r["column"]]) for r in first["_items"]]
+    return df.sparkSession.createDataFrame(rows, found.select(F.inline(F.array(*items))).schema.add("uniques", "long"))
 
 
 def detect_roles(df: DataFrame):
@@ -148,7 +156,7 @@ def suggest_types(df: DataFrame):
 
 def detect_categorical(df: DataFrame, max_unique=20, min_freq=0.01):
     """Columns that are likely categorical (one column ``column``)."""
-    facts = column_facts(df, parse=False)
+    facts = column_facts(df, parse=False, counts=[max_unique], shares=[min_freq])
     ok = F.col("uniques") <= F.greatest(F.lit(float(max_unique)), F.col("rows") * min_freq)
     text = facts.where(ok & (F.col("class") == "text") & (F.col("uniques") <= max_unique)).select("column")
     nums = [c for c in numeric_columns(df)]
