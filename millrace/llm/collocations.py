@@ -19,6 +19,7 @@ exact. Where a hash was seen more often than its phrase, others share it: they a
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from millrace.llm.common import arrow_rows, blocks, table
 
 WORDS = 3
 #: Phrases of a trie, of which a task holds one; more phrases make more tries.
-TRIE_PHRASES = 250_000
+TRIE_PHRASES = 200_000
 #: A bitmap of hashes that is sent to the tasks has 2**BITMAP[0] to 2**BITMAP[1] bits (at most 16 MB), of these some
 #: BITS_A_HASH per hash; beyond that more false hits add candidates.
 BITMAP, BITS_A_HASH = (18, 27), 16
@@ -367,15 +368,30 @@ def build(part: pa.Table) -> pa.Table:
     accepts = np.full(len(base), -1, np.int32)
     accepts[state] = np.arange(n)
     phrases = {"shard": part.column("shard"), "lang": lang, "phrase": phrase, "size": part.column("size"), "h": part.column("h"), "number": pa.array(np.arange(n, dtype=np.int32))}
-    trie = {"shard": part.column("shard")[:1], "words": pa.array([_stored(coded.dictionary)]), "langs": pa.array([_stored(langs)]), "base": pa.array([base.tobytes()]), "check": pa.array([check.tobytes()]), "accepts": pa.array([accepts.tobytes()])}
+    trie = {"shard": part.column("shard")[:1], "words": pa.array([_stored(coded.dictionary)]), "langs": pa.array([_stored(langs)]), **{k: pa.array([zlib.compress(v.tobytes(), 1)]) for k, v in (("base", base), ("check", check), ("accepts", accepts))}}
     return pa.concat_tables([pa.table({f.name: held.get(f.name, pa.nulls(rows, f.type)) for f in BUILT}, schema=BUILT) for held, rows in ((phrases, n), (trie, 1))])
 
 
 class Trie:
+    """A stored trie; the arrays are unpacked where it is used."""
+
     def __init__(self, words: bytes, langs: bytes, base: bytes, check: bytes, accepts: bytes):
+        self.stored = words, langs, base, check, accepts
+
+    def __getstate__(self):
+        return self.stored
+
+    def __setstate__(self, stored):
+        self.stored = stored
+
+    def __getattr__(self, name):
+        if name not in ("words", "langs", "base", "check", "accepts", "phrases"):
+            raise AttributeError(name)
+        words, langs, *arrays = self.stored
         self.words, self.langs = _read(words), _read(langs)
-        self.base, self.check, self.accepts = (np.frombuffer(x, np.int32) for x in (base, check, accepts))
+        self.base, self.check, self.accepts = (np.frombuffer(zlib.decompress(x), np.int32) for x in arrays)
         self.phrases = int(self.accepts.max()) + 1
+        return self.__dict__[name]
 
     def advance(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the states that have a child for their symbol (-1: none, else two digits), and the children."""
