@@ -43,44 +43,42 @@ def yeo_johnson(v, lam):
     return F.when(v >= 0, box_cox(v + 1, lam)).otherwise(-box_cox(1 - v, 2 - lam))
 
 
+#: Columns whose candidates are tried in one scan.
+COLUMNS_A_SCAN = 8
+
+
 def likelihood_lambda(df: DataFrame, columns, family="yeo-johnson", shifts=None, low=-5.0, high=5.0, rounds=3, grid=13):
     """Maximum-likelihood lambda per column.
 
-    Every round evaluates a whole grid of candidates for all columns in one job that combines to
-    ``grid`` rows before its shuffle, then narrows the range around the best one. The last step is
-    the vertex of the parabola through the three best candidates.
+    Every round takes the variances under a whole grid of candidates in one scan, COLUMNS_A_SCAN columns at a
+    time, then narrows the range around the best one. The last step is the vertex of the parabola through
+    the three best candidates.
     """
     shifts = shifts or {}
     spans = {c: (low, high) for c in columns}
     best = {}
     df = df.select(*columns)
     for _ in range(rounds):
-        j = F.col("_j")
-        aggs = []
-        for i, c in enumerate(columns):
-            a, b = spans[c]
-            lam = F.lit(a) + j * F.lit((b - a) / (grid - 1))
-            v = number(c) + F.lit(float(shifts.get(c, 0.0)))
-            if family == "box-cox":
-                transform, slope = box_cox, F.ln(v)
-            else:
-                transform, slope = yeo_johnson, F.signum(v) * F.log1p(F.abs(v))
-            aggs += [F.avg(slope).alias(f"s{i}"), F.var_pop(transform(v, lam)).alias(f"v{i}")]
-        candidates = df.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("_j"))
-        rows = candidates.groupBy("_j").agg(*aggs).collect()
+        found, at = {}, {c: [spans[c][0] + j * (spans[c][1] - spans[c][0]) / (grid - 1) for j in range(grid)] for c in columns}
+        for first in range(0, len(columns), COLUMNS_A_SCAN):
+            aggs = []
+            for i, c in enumerate(columns[first : first + COLUMNS_A_SCAN]):
+                v = number(c) + F.lit(float(shifts.get(c, 0.0)))
+                transform, slope = (box_cox, F.ln(v)) if family == "box-cox" else (yeo_johnson, F.signum(v) * F.log1p(F.abs(v)))
+                aggs += [F.avg(slope).alias(f"s{first + i}"), *[F.var_pop(transform(v, lam)).alias(f"v{first + i}_{j}") for j, lam in enumerate(at[c])]]
+            found.update(df.agg(*aggs).first().asDict())
         for i, c in enumerate(columns):
-            a, b = spans[c]
-            width = (b - a) / (grid - 1)
+            width = (spans[c][1] - spans[c][0]) / (grid - 1)
             score = {}
-            for r in rows:
-                lam, var = a + r["_j"] * width, r[f"v{i}"]
+            for j, lam in enumerate(at[c]):
+                var = found[f"v{i}_{j}"]
                 if var is not None and var > 0 and math.isfinite(var):
-                    score[lam] = -0.5 * math.log(var) + (lam - 1) * r[f"s{i}"]
+                    score[lam] = -0.5 * math.log(var) + (lam - 1) * found[f"s{i}"]
             best[c] = max(score, key=score.get) if score else 1.0
             order = sorted(score)
-            at = order.index(best[c]) if score else 0
-            if 0 < at < len(order) - 1:
-                y0, y1, y2 = (score[order[at + k]] for k in (-1, 0, 1))
+            top = order.index(best[c]) if score else 0
+            if 0 < top < len(order) - 1:
+                y0, y1, y2 = (score[order[top + k]] for k in (-1, 0, 1))
                 bend = y0 - 2 * y1 + y2
                 best[c] += 0.5 * width * (y0 - y2) / bend if bend < 0 else 0.0
             spans[c] = (best[c] - width, best[c] + width)
