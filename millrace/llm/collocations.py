@@ -33,7 +33,7 @@ from millrace.llm.common import arrow_rows, blocks, table
 
 WORDS = 3
 #: Phrases of a trie, of which a task holds one; more phrases make more tries.
-TRIE_PHRASES = 200_000
+TRIE_PHRASES = 400_000
 #: A bitmap of hashes that is sent to the tasks has 2**BITMAP[0] to 2**BITMAP[1] bits (at most 16 MB), of these some
 #: BITS_A_HASH per hash; beyond that more false hits add candidates.
 BITMAP, BITS_A_HASH = (18, 27), 16
