@@ -197,8 +197,10 @@ def _fetch(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> Da
     ids = wanted.select("id").distinct()
     held = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     held = _joined(held, _small(ids, ids.count()), ["id"], "left_semi")
-    lines = _joined(held, _small(wanted, wanted.count(), BROADCAST_LISTS), ["id"]).select("id", F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("pos"))
-    return lines.select("id", "pos", F.get("lines", F.col("pos")).alias("line")).where("line is not null").distinct()
+    met = _joined(held, _small(wanted, wanted.count(), BROADCAST_LISTS), ["id"])
+    # A text is split once, not once per place.
+    found = let(F.split("text", "\n", -1), lambda lines: F.transform("wanted", lambda at: F.struct(at.alias("pos"), F.get(lines, at).alias("line"))))
+    return met.select("id", F.explode(found).alias("x")).select("id", "x.pos", "x.line").where("line is not null").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -237,15 +239,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are replaced.
     """
     source = docs.drop("n_lines", "n_dropped")
-    gone = table(dropped_lines(docs, id_col, text_col))
-    # The source goes into one column, so that no name of it can clash with those of the join.
-    held = source.select(F.struct(*[source[c] for c in source.columns]).alias("source"))
-    met = held.join(_small(gone, gone.count(), BROADCAST_LISTS), F.col("source").getField(id_col).eqNullSafe(F.col("id")), "left")
-    old = F.col("source").getField(text_col)
-    lines = F.split(old, "\n", -1)
-    kept = let(lines, lambda held: F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.col("dropped")), lambda at: F.get(held, at)))
-    text = F.when(F.col("dropped").isNull(), old).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(old.isNull(), 0).otherwise(F.size(lines))
-    n_dropped = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped"))
-    columns = [(text if c == text_col else F.col("source").getField(c)).alias(c) for c in source.columns]
+    # Names that no column of the documents has.
+    gone_id, dropped = (_free(source.columns, name) for name in ("gone_id", "dropped"))
+    gone = table(dropped_lines(docs, id_col, text_col).select(F.col("id").alias(gone_id), F.col("dropped").alias(dropped)))
+    met = source.join(_small(gone, gone.count(), BROADCAST_LISTS), source[id_col].eqNullSafe(gone[gone_id]), "left")
+    lines = F.split(source[text_col], "\n", -1)
+    kept = let(lines, lambda held: F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.col(dropped)), lambda at: F.get(held, at)))
+    text = F.when(F.col(dropped).isNull(), source[text_col]).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(source[text_col].isNull(), 0).otherwise(F.size(lines))
+    n_dropped = F.when(F.col(dropped).isNull(), 0).otherwise(F.size(dropped))
+    columns = [(text if c == text_col else source[f"`{c}`"]).alias(c) for c in source.columns]
     return met.select(*columns, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+
+
+def _free(taken: list[str], name: str) -> str:
+    held = {c.lower() for c in taken}
+    while name in held:
+        name += "_"
+    return name
