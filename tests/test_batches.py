@@ -121,3 +121,31 @@ def test_projection_keeps_incomplete_rows(spark):
     df = spark.createDataFrame([(1.0, 2.0, "x"), (None, 1.0, "y"), (float("nan"), 1.0, None)], "a double, b double, t string")
     got = batches.projected(df, ["a", "b"], np.zeros(2), np.array([[1.0], [2.0]]), ["p"]).collect()
     assert [(r["t"], r["p"]) for r in got] == [("x", 5.0), ("y", None), (None, None)]
+
+
+@pytest.mark.parametrize(("kernel", "few"), [("rbf", 64), ("poly", 5), ("linear", 3), ("cosine", 64)])
+def test_kernel_components_match_the_full_kernel(spark, monkeypatch, kernel, few):
+    monkeypatch.setattr(reduce, "CANDIDATES", few)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((150, 3))
+    df, cols = wide(spark, np.concatenate((x, x[:10])), [0] * 160, kind="int")
+    m = reduce.kernel_pca_fit(df, cols, 3, kernel=kernel, gamma=0.3, tolerance=1e-8)
+    full = np.concatenate((x, x[:10]))
+    k = reduce._kernel(full, full, kernel, 0.3, 3, 1.0)
+    k = k - k.mean(0) - k.mean(1)[:, None] + k.mean()
+    values, vectors = np.linalg.eigh(k)
+    assert m["error"] <= 1e-8 and np.allclose(m["variance"] * 159, values[::-1][:3], rtol=1e-4)
+    order = np.lexsort(full.T[::-1])
+    want = (vectors[:, ::-1][:, :2] * np.sqrt(values[::-1][:2]))[order]
+    got = np.array([[r["kpca_component_1"], r["kpca_component_2"]] for r in reduce.kernel_pca(df, cols, 2, kernel=kernel, gamma=0.3, tolerance=1e-8).orderBy(*cols).collect()])
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-3)
+
+
+def test_kernel_components_with_few_landmarks_tell_their_error(spark):
+    rng = np.random.default_rng(7)
+    df, cols = wide(spark, rng.standard_normal((200, 4)), [0] * 200, kind="int")
+    errors = [reduce.kernel_pca_fit(df, cols, 2, gamma=0.5, landmarks=n)["error"] for n in (5, 40)]
+    assert 0 < errors[1] < errors[0] < 1
+    holes = df.selectExpr("CASE WHEN c0 > 1 THEN NULL ELSE c0 END AS c0", "c1")
+    out = reduce.kernel_pca(holes, ["c0", "c1"], 1).collect()
+    assert len(out) == 200 and all((r["kpca_component_1"] is None) == (r["c0"] is None) for r in out)
