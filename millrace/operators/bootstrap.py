@@ -161,7 +161,8 @@ def bootstrap_ci(df: DataFrame, column, key, statistic="mean", n_bootstrap=1000,
 
     ``statistic``: mean, sum, std, ratio, median, a probability (that quantile), or a function of the replicates'
     table: arrays named sum, square, denominator and count, and one per probability in ``quantiles``. Rows of
-    one key share their weights. Replicates without a value (all weights 0) are left out.
+    one key share their weights. Replicates without a value (all weights 0)
+    do not count in the interval; without rows there are no replicates.
     """
     wanted = list(quantiles) + ([0.5] if statistic == "median" else [] if callable(statistic) or isinstance(statistic, str) else [statistic])
     with np.errstate(all="ignore"):
@@ -170,5 +171,5 @@ def bootstrap_ci(df: DataFrame, column, key, statistic="mean", n_bootstrap=1000,
     tail = (1 - ci) / 2
     lower, upper, center = (*np.quantile(values, [tail, 1 - tail]), values.mean()) if len(values) else (None, None, None)
     return df.sparkSession.createDataFrame(
-        [(None if lower is None else float(lower), None if upper is None else float(upper), None if center is None else float(center), len(values))],
+        [(None if lower is None else float(lower), None if upper is None else float(upper), None if center is None else float(center), n_bootstrap if len(values) else 0)],
         "lower double, upper double, center double, replicates long")
