@@ -533,7 +533,11 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     cuts = cuts.withColumn("up", (wide("a") * wide("a") * F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,0)")).withColumn("down", (wide("l") * wide("r")).cast("decimal(38,0)"))
     scored = cuts.withColumn("score", F.expr("cast(up div down as long)"))
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x")).select("lang", "phrase", "a", "x.score", "x.l", "x.r")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = lowest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    # A language may hold most phrases: its first ones are found in shares, then among the first ones of these.
+    shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lowest.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
+    some = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top).drop("rank", "share")
+    first = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     named = _totals(held).withColumnsRenamed({"lang": "_lang", "total": "n"})
     return first.join(named, F.col("lang") == F.col("_lang")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
