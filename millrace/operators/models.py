@@ -21,13 +21,11 @@ CLASSIFIERS = {
     "decision_tree_classifier": lambda **p: mc.DecisionTreeClassifier(**p),
     "random_forest_classifier": lambda **p: mc.RandomForestClassifier(**{"numTrees": 100, **p}),
     "gradient_boosting_classifier": lambda **p: mc.GBTClassifier(**p),
-    "xgboost_classifier": lambda **p: mc.GBTClassifier(**p),
-    "lightgbm_classifier": lambda **p: mc.GBTClassifier(**p),
     "naive_bayes": lambda **p: mc.NaiveBayes(**{"modelType": "gaussian", **p}),
     "neural_network": lambda **p: mc.MultilayerPerceptronClassifier(**p),
     "linear_svm": lambda **p: mc.LinearSVC(**p),
 }
-_BINARY_ONLY = ("gradient_boosting_classifier", "xgboost_classifier", "lightgbm_classifier", "linear_svm")
+_BINARY_ONLY = ("gradient_boosting_classifier", "linear_svm")
 
 
 def _penalised(l1_ratio, per_row):
@@ -55,8 +53,6 @@ REGRESSORS = {
     "decision_tree_regressor": lambda **p: mr.DecisionTreeRegressor(**p),
     "random_forest_regressor": lambda **p: mr.RandomForestRegressor(**{"numTrees": 100, **p}),
     "gradient_boosting_regressor": lambda **p: mr.GBTRegressor(**p),
-    "xgboost_regressor": lambda **p: mr.GBTRegressor(**p),
-    "lightgbm_regressor": lambda **p: mr.GBTRegressor(**p),
 }
 CLUSTERERS = {
     "kmeans": lambda **p: mk.KMeans(**p),
