@@ -59,7 +59,7 @@ def d2(spark, sf):
 
 @check("d3_kernel_pca")
 def d3(spark, sf):
-    return reduce.kernel_pca(vectors(spark, sf), _E, 2)
+    return reduce.kernel_pca(vectors(spark, sf), _E, 2, landmarks=64)
 
 
 @check("g17_pca_features")
