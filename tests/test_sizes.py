@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from millrace.operators import reduce
+from millrace.operators import corr, reduce
 
 
 def test_kernel_components_of_many_columns(spark):
@@ -17,3 +17,8 @@ def test_kernel_components_of_many_columns(spark):
     out = reduce.kernel_pca(df, cols, 2, landmarks=40).select("kpca_component_1", "kpca_component_2").collect()
     assert len(out) == 80 and all(np.isfinite(list(r)).all() for r in out)
     assert time.time() - began < 40
+
+
+def test_rank_correlation_of_millions_of_rows(spark):
+    df = spark.range(2_500_000).select((F.col("id") % 50).cast("double").alias("a"), (F.col("id") % 50 * 2).cast("double").alias("b"))
+    assert abs(corr.correlations(df, ["a", "b"], "spearman").first()["correlation"] - 1) < 1e-12
