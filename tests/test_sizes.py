@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.operators import corr, reduce
+from millrace.plans.ordered import number_rows
+from millrace.plans.sizing import is_small, slices
 
 
 def test_kernel_components_of_many_columns(spark):
@@ -22,3 +24,12 @@ def test_kernel_components_of_many_columns(spark):
 def test_rank_correlation_of_millions_of_rows(spark):
     df = spark.range(2_500_000).select((F.col("id") % 50).cast("double").alias("a"), (F.col("id") % 50 * 2).cast("double").alias("b"))
     assert abs(corr.correlations(df, ["a", "b"], "spearman").first()["correlation"] - 1) < 1e-12
+
+
+def test_row_numbers_of_many_rows_are_cut_into_slices(spark):
+    df = spark.range(10_000_000).toDF("k")
+    # A plan with one window over all rows would need one task for them.
+    assert not is_small(df) and slices(df) >= 38
+    assert slices(df.crossJoin(spark.range(1000).toDF("j"))) < 1000
+    row = number_rows(df, ["-k"]).agg(F.max("row_number").alias("n"), F.count_if(F.col("row_number") + F.col("k") != 10_000_000).alias("off")).first()
+    assert (row["n"], row["off"]) == (10_000_000, 0)
