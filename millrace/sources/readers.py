@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from millrace.operators.columns import nan_to_null
 from millrace.operators.schema import convert_types, to_datetime
-from millrace.plans.sizing import scratch_path
+from millrace.plans.sizing import freeze, scratch_path
 
 # Texts that mean a missing value, file kinds by extension, and leading bytes by kind.
 NULL_TOKENS = ("NA", "N/A", "", "null", "None")
@@ -221,23 +221,82 @@ def load_text_files(spark, path, pattern=None, encoding="utf-8", recursive=False
     return df.withColumn("filename", F.regexp_extract("path", r"([^/]+)$", 1))
 
 
-def load_yaml(spark, path, pattern=None, flat=True):
-    """YAML documents; a list gives one row per item. Nested maps are flattened to a.b columns."""
-    texts = load_text_files(spark, path, pattern).select("content")
+def _yaml_lines(documents):
+    """One JSON line per document, or per item of a document that is a list."""
+    import json
 
-    def parse(batches):
-        import json
+    return [json.dumps(d, default=str) for doc in documents for d in (doc if isinstance(doc, list) else [doc]) if d is not None]
+
+
+#: Characters of list items that are parsed together.
+YAML_CHUNK = 1 << 16
+
+
+def _yaml_items(spark, path, pattern):
+    """Rows (path, line): the items of files that are one list from the first column on; NULL lines mark other files.
+
+    The text reader cuts at every line that starts with a dash, so that the pieces of a file are read by many
+    tasks. A piece that is no list by itself (an open quote, a name for a value elsewhere) marks its file, and so
+    does any line that starts in the first column with something else than an item or a comment.
+    """
+    pieces = spark.read.text(path, lineSep="\n- ", pathGlobFilter=pattern).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+
+    def run(batches):
+        import re
 
         import yaml
 
+        # The parser of libyaml, where PyYAML has it; what it rejects is left to the plain one.
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        outside = re.compile(r"^(?!- |-\r?$|#|\s|\Z)", re.M)
+        file, block, held, size = None, None, [], 0
+
+        def parsed():
+            text = "\n".join(held) + "\n"
+            try:
+                if not outside.search(text):
+                    found = list(yaml.load_all(text, loader))
+                    if not found or len(found) == 1 and isinstance(found[0], list):
+                        return _yaml_lines(found)
+            except Exception:
+                pass
+            return [None]
+
         for pdf in batches:
             out = []
-            for content in pdf["content"]:
-                for doc in yaml.safe_load_all(content):
-                    out += [json.dumps(d, default=str) for d in (doc if isinstance(doc, list) else [doc]) if d is not None]
-            yield pd.DataFrame({"line": out})
+            for value, at, start in zip(pdf["value"], pdf["path"], pdf["start"]):
+                first = start == 0 and (at, start) != (file, block)
+                if held and (at != file or size > YAML_CHUNK):
+                    out += [(file, line) for line in parsed()]
+                    held, size = [], 0
+                file, block = at, start
+                held.append(value if first else "- " + value)
+                size += len(value)
+            yield pd.DataFrame(out, columns=["path", "line"])
+        if held:
+            yield pd.DataFrame([(file, line) for line in parsed()], columns=["path", "line"])
+
+    return pieces.mapInPandas(run, "path string, line string")
+
+
+def load_yaml(spark, path, pattern=None, flat=True):
+    """YAML documents; a list gives one row per item. Nested maps are flattened to a.b columns.
+
+    Files that are one list are parsed in pieces by many tasks, any other file as a whole by one.
+    """
+    items = freeze(_yaml_items(spark, path, pattern), "items")
+    whole = items.where("line is null").select("path").distinct()
+
+    def parse(batches):
+        import yaml
+
+        for pdf in batches:
+            yield pd.DataFrame({"line": [line for text in pdf["content"] for line in _yaml_lines(yaml.safe_load_all(text))]})
 
-    df = spark.read.json(_written(texts.mapInPandas(parse, "line string")))
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"))
+    lines = items.join(whole, "path", "left_anti").select("line").unionByName(texts.join(whole, "path", "left_semi").select("content").mapInPandas(parse, "line string"))
+    df = spark.read.json(_written(lines))
     return flatten_records(df) if flat else df
 
 
