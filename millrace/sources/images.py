@@ -37,6 +37,17 @@ def resize(a, width, height):
     return np.einsum("yi,ijc,xj->yxc", _axis_weights(a.shape[0], height), a.astype(float), _axis_weights(a.shape[1], width))
 
 
+#: Pictures whose results a task holds at once.
+PICTURES = 256
+
+
+def _few(batches):
+    """Batches of at most PICTURES rows, since a result can be many times larger than its picture."""
+    for pdf in batches:
+        for first in range(0, len(pdf), PICTURES):
+            yield pdf.iloc[first : first + PICTURES].reset_index(drop=True)
+
+
 def process(df: DataFrame, key, operations=({"type": "resize"}, {"type": "normalize"})):
     """Apply resize / normalize / flip operations in order: (key, height, width, channels, values)."""
 
@@ -53,7 +64,7 @@ def process(df: DataFrame, key, operations=({"type": "resize"}, {"type": "normal
         return a
 
     def run(batches):
-        for pdf in batches:
+        for pdf in _few(batches):
             arrays = [one(pixels(i)) for i in pdf["image"]]
             yield pd.DataFrame({key: pdf[key], "height": [a.shape[0] for a in arrays], "width": [a.shape[1] for a in arrays], "channels": [a.shape[2] for a in arrays],
                                 "values": [a.astype("float32").ravel() for a in arrays]})
@@ -65,7 +76,7 @@ def histograms(df: DataFrame, key):
     """256 bin counts per channel, red, green, blue after each other."""
 
     def run(batches):
-        for pdf in batches:
+        for pdf in _few(batches):
             rows = []
             for i in pdf["image"]:
                 a = pixels(i)
@@ -82,7 +93,7 @@ def augment_flips(df: DataFrame, key, copies=1, seed=42, horizontal=True, vertic
     many = many.withColumns({"h": draw(0) & F.lit(horizontal), "v": draw(1) & F.lit(vertical)})
 
     def run(batches):
-        for pdf in batches:
+        for pdf in _few(batches):
             out = []
             for image, h, v in zip(pdf["image"], pdf["h"], pdf["v"]):
                 a = pixels(image)
