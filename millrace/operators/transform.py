@@ -3,7 +3,9 @@
 import json
 import math
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.columns import numeric_or, replace_columns
@@ -47,11 +49,65 @@ def yeo_johnson(v, lam):
 COLUMNS_A_SCAN = 8
 
 
+def _powers(v, logs, lam):
+    """box_cox of an array whose logarithms are known; NaN where the logarithm has no value."""
+    return logs if abs(lam) < 1e-12 else (np.power(v, lam) - 1.0) / lam
+
+
+def power_moments(df: DataFrame, candidates, family) -> DataFrame:
+    """Rows (i, j, mean, var): mean and variance of column i under its candidate j; j = -1 is the logarithm of the slope.
+
+    A task keeps a count, a mean and a sum of squares for every candidate and passes them on once.
+    """
+    widest = 1 + max(map(len, candidates))
+
+    def partial(batches):
+        n, mean, squares = (np.zeros((len(candidates), widest)) for _ in range(3))
+
+        def add(i, j, x):
+            if len(x):
+                m = x.mean()
+                gap, total = m - mean[i, j], n[i, j] + len(x)
+                squares[i, j] += np.square(x - m).sum() + gap * gap * n[i, j] * len(x) / total
+                mean[i, j] += gap * len(x) / total
+                n[i, j] = total
+
+        with np.errstate(all="ignore"):
+            for b in batches:
+                for i, lams in enumerate(candidates):
+                    v = b.column(i).drop_null().to_numpy(zero_copy_only=False)
+                    if family == "box-cox":
+                        # The logarithm of a number that is not positive is null, not NaN.
+                        logs = np.log(np.where(v > 0, v, 1.0))
+                        held = (v > 0) | np.isnan(v)
+                        logs[np.isnan(v)] = np.nan
+                        add(i, 0, logs[held])
+                        for j, lam in enumerate(lams, 1):
+                            x = _powers(v, logs, lam)
+                            add(i, j, x[held] if abs(lam) < 1e-12 else x)
+                        continue
+                    above = v[v >= 0] + 1.0
+                    below = 1.0 - v[~(v >= 0)]
+                    up, down = np.log(above), np.log(below)
+                    add(i, 0, np.sign(v) * np.log1p(np.abs(v)))
+                    for j, lam in enumerate(lams, 1):
+                        add(i, j, np.concatenate((_powers(above, up, lam), -_powers(below, down, 2.0 - lam))))
+        at = np.argwhere(n > 0)
+        yield pa.record_batch({"i": pa.array(at[:, 0], pa.int32()), "j": pa.array(at[:, 1] - 1, pa.int32()),
+                               **{k: pa.array(x[at[:, 0], at[:, 1]]) for k, x in (("n", n), ("m", mean), ("q", squares))}})
+
+    parts = df.mapInArrow(partial, "i int, j int, n double, m double, q double")
+    own = Window.partitionBy("i", "j")
+    parts = parts.withColumn("centre", F.sum(F.col("n") * F.col("m")).over(own) / F.sum("n").over(own))
+    spread = F.col("q") + F.col("n") * (F.col("m") - F.col("centre")) * (F.col("m") - F.col("centre"))
+    return parts.groupBy("i", "j").agg(F.first("centre").alias("mean"), (F.sum(spread) / F.sum("n")).alias("var"))
+
+
 def likelihood_lambda(df: DataFrame, columns, family="yeo-johnson", shifts=None, low=-5.0, high=5.0, rounds=3, grid=13):
     """Maximum-likelihood lambda per column.
 
-    Every round takes the variances under a whole grid of candidates in one scan, COLUMNS_A_SCAN columns at a
-    time, then narrows the range around the best one. The last step is the vertex of the parabola through
+    Every round takes the variances under a whole grid of candidates in one scan, per Arrow batch and for COLUMNS_A_SCAN
+    columns at a time, then narrows the range around the best one. The last step is the vertex of the parabola through
     the three best candidates.
     """
     shifts = shifts or {}
@@ -61,17 +117,15 @@ def likelihood_lambda(df: DataFrame, columns, family="yeo-johnson", shifts=None,
     for _ in range(rounds):
         found, at = {}, {c: [spans[c][0] + j * (spans[c][1] - spans[c][0]) / (grid - 1) for j in range(grid)] for c in columns}
         for first in range(0, len(columns), COLUMNS_A_SCAN):
-            aggs = []
-            for i, c in enumerate(columns[first : first + COLUMNS_A_SCAN]):
-                v = number(c) + F.lit(float(shifts.get(c, 0.0)))
-                transform, slope = (box_cox, F.ln(v)) if family == "box-cox" else (yeo_johnson, F.signum(v) * F.log1p(F.abs(v)))
-                aggs += [F.avg(slope).alias(f"s{first + i}"), *[F.var_pop(transform(v, lam)).alias(f"v{first + i}_{j}") for j, lam in enumerate(at[c])]]
-            found.update(df.agg(*aggs).first().asDict())
+            some = columns[first : first + COLUMNS_A_SCAN]
+            shifted = df.select(*[(number(c) + F.lit(float(shifts.get(c, 0.0)))).alias(f"_{i}") for i, c in enumerate(some)])
+            for r in power_moments(shifted, [at[c] for c in some], family).collect():
+                found[f"s{first + r['i']}" if r["j"] < 0 else f"v{first + r['i']}_{r['j']}"] = r["mean"] if r["j"] < 0 else r["var"]
         for i, c in enumerate(columns):
             width = (spans[c][1] - spans[c][0]) / (grid - 1)
             score = {}
             for j, lam in enumerate(at[c]):
-                var = found[f"v{i}_{j}"]
+                var = found.get(f"v{i}_{j}")
                 if var is not None and var > 0 and math.isfinite(var):
                     score[lam] = -0.5 * math.log(var) + (lam - 1) * found[f"s{i}"]
             best[c] = max(score, key=score.get) if score else 1.0
