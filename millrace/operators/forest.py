@@ -4,14 +4,18 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.plans.batches import rows_of
 from millrace.plans.quantiles import column_quantiles, number
 from millrace.plans.sizing import freeze
 
 SAMPLE = 256
+#: Rows that are led through the trees together.
+CHUNK = 8192
 
 
 def expected_depth(n):
@@ -47,6 +51,50 @@ def grow(x, rng, limit):
     return nodes
 
 
+def complete(nodes, levels):
+    """A tree as arrays (feature, threshold, depth value) of a complete one: node i has the children 2i + 1 and 2i + 2.
+
+    A leaf above the last level is continued by nodes that all have its value, so no child has to be looked up.
+    """
+    size = 2 ** (levels + 1) - 1
+    feature, threshold, depth = np.zeros(size, np.intp), np.full(size, np.inf), np.zeros(size)
+
+    def fill(at, node, level):
+        f, t, left, right, depth[at] = nodes[node]
+        if f >= 0:
+            feature[at], threshold[at] = int(f), t
+        if level < levels:
+            fill(2 * at + 1, int(left) if f >= 0 else node, level + 1)
+            fill(2 * at + 2, int(right) if f >= 0 else node, level + 1)
+
+    fill(0, 0, 0)
+    return feature, threshold, depth
+
+
+def path_lengths(trees, levels, x):
+    """Sum over complete trees of the depth values that the rows of a matrix reach; CHUNK rows pass a tree at a time."""
+    total = np.empty(len(x))
+    for s in range(0, len(x), CHUNK):
+        part = np.ascontiguousarray(x[s : s + CHUNK].T)
+        n, flat = part.shape[1], part.ravel()
+        rows, held = np.arange(n), np.empty((len(trees), n))
+        at, place, value, cut = np.empty(n, np.intp), np.empty(n, np.intp), np.empty(n), np.empty(n)
+        for k, (feature, threshold, depth) in enumerate(trees):
+            begin = feature * n
+            at[:] = 0
+            for _ in range(levels):
+                np.take(begin, at, out=place, mode="clip")
+                place += rows
+                np.take(flat, place, out=value, mode="clip")
+                np.take(threshold, at, out=cut, mode="clip")
+                at *= 2
+                at += 2
+                at -= value < cut
+            np.take(depth, at, out=held[k], mode="clip")
+        total[s : s + n] = np.ascontiguousarray(held.T).sum(1)
+    return total
+
+
 def isolation_forest(df: DataFrame, columns, contamination="auto", n_trees=100, seed=42, name="outlier", score="anomaly_score"):
     """Anomaly score in (0, 1) and a flag: above 0.5, or the top ``contamination`` share. NULLs count as the mean."""
     cols = list(columns)
@@ -71,35 +119,19 @@ def isolation_forest(df: DataFrame, columns, contamination="auto", n_trees=100,
     grown = picked.select("tree", "_r", *cols).groupBy("tree").applyInPandas(fit, "tree int, size int, node int, f int, t double, l int, r int, d double").toPandas()
     forest = [g.sort_values("node")[["f", "t", "l", "r", "d"]].to_numpy(float) for _, g in grown.groupby("tree")]
     typical = expected_depth(int(grown.groupby("tree")["size"].first().mean())) or 1.0
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    levels = int(math.ceil(math.log2(SAMPLE)))
+    shared = df.sparkSession.sparkContext.broadcast([complete(t, levels) for t in forest])
     schema = T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType())])
-    centre = [means[c] for c in cols]
+    centre = [float("nan") if means[c] is None else means[c] for c in cols]
+    rows = df.select("*", F.array(*[F.coalesce(number(c), F.lit(m)) for c, m in zip(cols, centre)]).alias("_x"))
 
     def apply(batches):
-        # All trees side by side: node numbers are offsets into one table.
-        starts = np.cumsum([0] + [len(t) for t in shared.value[:-1]])
-        table = np.concatenate(shared.value)
-        feature, threshold, depth = table[:, 0].astype(np.int32), table[:, 1], table[:, 4]
-        leaf = feature < 0
-        own = np.repeat(starts, [len(t) for t in shared.value])
-        here = np.arange(len(table))
-        left, right = (np.where(leaf, here, own + table[:, k].astype(int)).astype(np.int32) for k in (2, 3))
-        feature = np.maximum(feature, 0)
-        levels = int(math.ceil(math.log2(SAMPLE))) + 1
-        for pdf in batches:
-            x = pdf[cols].astype(float).to_numpy()
-            x = np.where(np.isnan(x), np.array(centre, float), x)
-            total = np.empty(len(x))
-            for s in range(0, len(x), 1024):
-                part = x[s : s + 1024]
-                rows = np.arange(len(part))[:, None]
-                at = np.tile(starts.astype(np.int32), (len(part), 1))
-                for _ in range(levels):
-                    at = np.where(part[rows, feature[at]] < threshold[at], left[at], right[at])
-                total[s : s + 1024] = depth[at].sum(1)
-            yield pdf.assign(**{score: 2.0 ** (-total / len(starts) / typical)})
-
-    scored = df.mapInPandas(apply, schema)
+        trees = shared.value
+        for b in batches:
+            total = path_lengths(trees, levels, rows_of(b.column(b.num_columns - 1), len(cols)))
+            yield pa.record_batch([*b.columns[:-1], pa.array(2.0 ** (-total / len(trees) / typical))], names=schema.names)
+
+    scored = rows.mapInArrow(apply, schema)
     if contamination == "auto":
         cut = 0.5
     else:
