@@ -65,46 +65,49 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     tie = F.pmod(F.xxhash64("id"), F.lit(1 << TIE))
     rows = base.select("id", "size", "text_crc32", *[(coordinate(k) * (1 << TIE) + tie).alias(f"k{k}") for k in range(n_dims)], F.lit(0).cast("long").alias("first"), F.lit(shards).cast("long").alias("leaves"))
     keys = F.array(*[f"k{k}" for k in range(n_dims)])
+    rows = table(rows)
     while True:
         cuts = _cuts(rows.where("leaves > 1"), keys, n_dims)
         if cuts is None:
             break
-        # At most one row per shard: the cuts of one level are a small local table.
-        at = rows.join(cuts, "first", "left")
-        half, right = F.floor(F.col("leaves") / 2), F.get(keys, F.col("dim").cast("int")) > F.col("cut")
-        rows = at.select("id", "size", "text_crc32", *[f"k{k}" for k in range(n_dims)],
-                         F.when(right, F.col("first") + half).otherwise(F.col("first")).alias("first"),
-                         F.when(F.col("dim").isNull(), F.col("leaves")).when(right, F.col("leaves") - half).otherwise(half).alias("leaves"))
+        at = rows.withColumn("cut", _at_node({f: {"dim": dim, "cut": cut} for f, dim, cut in cuts}))
+        half, right = F.floor(F.col("leaves") / 2), F.get(keys, F.col("cut.dim").cast("int")) > F.col("cut.cut")
+        # Written once a level, else the plans of the lower levels repeat the joins of all levels above.
+        rows = table(at.select("id", "size", "text_crc32", *[f"k{k}" for k in range(n_dims)],
+                               F.when(right, F.col("first") + half).otherwise(F.col("first")).alias("first"),
+                               F.when(F.col("cut").isNull(), F.col("leaves")).when(right, F.col("leaves") - half).otherwise(half).alias("leaves")))
     return _slots(rows.select(F.col("id").alias(id_col), "size", "text_crc32", F.col("first").cast("int").alias("shard")), id_col)
 
 
-def _local(spark, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
-    """A small table of numbers of the driver, by SQL literals; its rows are bounded by the number of shards."""
-    values = ", ".join("(" + ", ".join(f"{x!r}D" if isinstance(x, float) else f"{x}L" for x in row) + ")" for row in rows)
-    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})"))
+def _at_node(nodes: dict[int, dict]) -> Column:
+    """The numbers of the node that a row belongs to, as a struct; null at other nodes. At most one node per shard, so a literal map."""
+    return F.try_element_at(F.create_map(*[x for f, held in nodes.items() for x in (F.lit(f).cast("long"), F.struct(*[_number(v).alias(k) for k, v in held.items()]))]), F.col("first"))
 
 
-def _cuts(rows: DataFrame, keys: Column, n_dims: int) -> DataFrame | None:
+def _number(value: float) -> Column:
+    return F.lit(value) if isinstance(value, float) else F.lit(value).cast("long")
+
+
+def _cuts(rows: DataFrame, keys: Column, n_dims: int) -> list[tuple] | None:
     """(first, dim, cut) for every node with rows: keys up to cut go left. None if there is no such node."""
     spread = [(F.shiftright(F.max(f"k{k}"), TIE) - F.shiftright(F.min(f"k{k}"), TIE)) for k in range(n_dims)]
     ends = [F.struct(F.min(f"k{k}").alias("low"), F.max(f"k{k}").alias("high")) for k in range(n_dims)]
     nodes = rows.groupBy("first").agg(F.first("leaves").alias("leaves"), F.sum("size").alias("bytes"), F.array(*spread).alias("spread"), F.array(*ends).alias("ends")).collect()
     if not nodes:
         return None
-    spark, state = rows.sparkSession, {}
+    state = {}
     for n in nodes:
         dim = max(range(n_dims), key=lambda k: (n["spread"][k], -k))
         state[n["first"]] = {"dim": dim, "low": n["ends"][dim]["low"], "high": n["ends"][dim]["high"], "goal": n["bytes"] * (n["leaves"] // 2) / n["leaves"], "below": 0, "own": 0}
     while any(s["low"] < s["high"] for s in state.values()):
-        open_ = [(f, s["dim"], s["low"], s["high"], ((s["high"] - s["low"]) >> BIN) + 1) for f, s in state.items() if s["low"] < s["high"]]
-        asked = _local(spark, open_, ("first", "dim", "low", "high", "step"))
-        key = F.get(keys, F.col("dim").cast("int"))
-        inside = rows.join(asked, "first").select("first", "low", "high", "step", "size", key.alias("key")).where("key between low and high")
+        steps = {f: ((s["high"] - s["low"]) >> BIN) + 1 for f, s in state.items() if s["low"] < s["high"]}
+        asked = _at_node({f: {**{k: state[f][k] for k in ("dim", "low", "high")}, "step": step} for f, step in steps.items()})
+        key = F.get(keys, F.col("asked.dim").cast("int"))
+        inside = rows.withColumn("asked", asked).where("asked is not null").select("first", "asked.low", "asked.high", "asked.step", "size", key.alias("key")).where("key between low and high")
         counted = inside.groupBy("first", F.floor((F.col("key") - F.col("low")) / F.col("step")).alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
         upto = counted.withColumn("upto", F.sum("bytes").over(Window.partitionBy("first").orderBy("bin")))
-        goals = _local(spark, [(f, float(s["goal"] - s["below"])) for f, s in state.items()], ("first", "goal"))
-        reached = upto.join(goals, "first").groupBy("first").agg(F.min(F.when(F.col("upto") >= F.col("goal"), F.struct("bin", "upto", "bytes", "n"))).alias("hit"), F.max(F.struct("bin", "upto", "bytes", "n")).alias("last")).collect()
-        steps = {f: step for f, _, _, _, step in open_}
+        goal = _at_node({f: {"goal": float(state[f]["goal"] - state[f]["below"])} for f in steps})["goal"]
+        reached = upto.groupBy("first").agg(F.min(F.when(F.col("upto") >= goal, F.struct("bin", "upto", "bytes", "n"))).alias("hit"), F.max(F.struct("bin", "upto", "bytes", "n")).alias("last")).collect()
         for r in reached:
             s, hit = state[r["first"]], r["hit"] or r["last"]
             low = s["low"] + hit["bin"] * steps[r["first"]]
@@ -116,7 +119,7 @@ def _cuts(rows: DataFrame, keys: Column, n_dims: int) -> DataFrame | None:
         # The row on the cut goes to the side that ends nearer to its share.
         nearer = s["goal"] - s["below"] < s["own"] / 2
         cuts.append((f, s["dim"], s["low"] - 1 if nearer else s.get("end", s["high"])))
-    return _local(spark, cuts, ("first", "dim", "cut"))
+    return cuts
 
 
 def _slots(rows: DataFrame, id_col: str) -> DataFrame:

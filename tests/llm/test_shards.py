@@ -60,3 +60,9 @@ def test_not_a_number_and_nulls_in_metadata(spark):
 def test_no_python_in_the_plan(spark):
     plan = shards.kd_shards(texts(spark, [(1, "a"), (2, "b")]), 2, dimensions=("size", "doc_id"))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_plan_does_not_grow_with_the_levels(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.expr("repeat('a', cast(id % 50 as int))").alias("text"))
+    plans = [shards.kd_shards(docs, shards=n)._jdf.queryExecution().optimizedPlan().toString() for n in (2, 16)]
+    assert len(plans[0].splitlines()) == len(plans[1].splitlines())
