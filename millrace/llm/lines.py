@@ -12,9 +12,15 @@ line in steps of STEP, so most lines probe with five substrings. Substrings are
 hashes. Of pairs that meet, those that share enough of eight finer pieces are verified by a banded
 bit-parallel edit distance over code points.
 
-A segment that more than CELL_LINES distinct lines share is not paired as it is: two lines that share it
-are within reach only if what is left of them is, so the join is repeated within that group for the rest
-of the lines, and so on; a rest of less than STEP characters is paired as it is.
+A segment that more than CELL_LINES distinct lines share forms no pairs. Such lines meet by equal texts after
+up to EDITS edits, tried only where a line leaves another one, as in a tree of errors (Cole, Gottlieb,
+Lewenstein): in a cell of lines, one of them is the pivot, and a line that leaves it at some character goes on
+without that character, with the pivot's in its place or before it, and with a wildcard there. Two lines of a
+cell leave each other where one of them leaves the pivot, so if they are within reach, some of these texts are
+equal or leave the pivot by the same character at the same place; those are the cells of the next round. The
+pivot is the middle of the sorted lines, so a cell has at most about half of the lines of the one before,
+and a line has a number of texts that grows with the logarithm of the group. Equal texts prove the distance, and
+the least place of each text is enough, so no pairs are formed there but in cells of up to CELL_TEXTS texts.
 """
 
 from __future__ import annotations
@@ -22,16 +28,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import components, table
 
 EDITS = 2
 #: Shorter lines stay; lines below NEAR_CHARS go only if they are equal.
 MIN_CHARS, NEAR_CHARS = 10, 30
 STEP = 16
-CELL_LINES = 50
+CELL_LINES, CELL_TEXTS = 50, 8
+#: Lines of a cell, about, whose middle is the pivot.
+PIVOT_LINES = 64
+#: Stands for any character; lines have no line feeds.
+WILD = "\n"
 PIECES = 8
-#: Rows of fixed width, and rows that hold an array of line numbers, of a side that is broadcast (some 10 MB); beyond it the join shuffles.
-BROADCAST_ROWS, BROADCAST_LISTS = 300_000, 100_000
+#: Rows of fixed width, rows that hold an array of line numbers, and characters, of a side that is broadcast (up to some 10 MB);
+#: beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_LISTS, BROADCAST_CHARS = 300_000, 10_000, 4_000_000
 
 
 def _small(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
@@ -68,24 +79,16 @@ def _places(chars: Column) -> list[tuple]:
 SEGMENTS = 3
 
 
-def _keys(line: Column, chars: Column, group: Column) -> Column:
+def _keys(line: Column, chars: Column) -> Column:
     """Hashes of the substrings at _places; null where the lower step does not apply."""
-    hashes = [F.xxhash64(group, F.lit(part), size, F.substring(line, start, length)) for part, size, start, length in _places(chars)]
+    hashes = [F.xxhash64(F.lit(part), size, F.substring(line, start, length)) for part, size, start, length in _places(chars)]
     lower = (chars % STEP < EDITS) & (chars >= 2 * STEP)
     return F.array(*hashes[:5], *[F.when(lower, h) for h in hashes[5:]])
 
 
-def _keyed(lines: DataFrame, *more: str) -> DataFrame:
+def _keyed(lines: DataFrame) -> DataFrame:
     """Rows (id, pos, chars, number, key) of lines with an array of keys; number is the place in the array."""
-    return lines.select("id", "pos", *more, "chars", F.posexplode("keys").alias("number", "key")).where("key is not null")
-
-
-def _rest(line: Column, chars: Column, number: Column) -> Column:
-    """The line without the substring of a key."""
-    out = F.lit(None).cast("string")
-    for k, (_, _, start, length) in enumerate(_places(chars)):
-        out = F.when(number == k, F.concat(F.substring(line, F.lit(1), start - 1), F.substring(line, start + length, chars))).otherwise(out)
-    return out
+    return lines.select("id", "pos", "chars", F.posexplode("keys").alias("number", "key")).where("key is not null")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -163,31 +166,106 @@ def shares_pieces(left: Column, right: Column, k: int = EDITS) -> Column:
 def near_lines(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos) of the distinct lines that lie within reach of an earlier one. first: table of first occurrences."""
     keyed = _keyed(first.where("keys is not null"))
-    found, rests = [], None
+    sizes = table(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("number").alias("least")).where(f"n > 1 and least < {SEGMENTS}").select("key", "n"))
+    rows = sizes.agg(F.count("*"), F.count(F.when(F.col("n") > CELL_LINES, 1))).first()
+    met = table(keyed.join(_small(sizes, rows[0]), "key"))
+    pairs = _pairs(met.where(F.col("n") <= CELL_LINES))
+    if not rows[1]:
+        return _verified(docs, table(pairs), id_col, text_col)
+    near, more = _crowded(docs, met.where(F.col("n") > CELL_LINES), id_col, text_col)
+    return _verified(docs, table(pairs.union(more).distinct()), id_col, text_col).union(near).distinct()
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """Number of characters that two strings have in common at their start, by halving."""
+    most = F.least(F.length(a), F.length(b))
+    steps = F.sequence(F.floor(F.log2(most + 1)).cast("int"), F.lit(0), F.lit(-1))
+
+    def step(at, k):
+        size = F.pow(F.lit(2), k).cast("int")
+        return F.when((at + size <= most) & (F.substring(a, at + 1, size) == F.substring(b, at + 1, size)), at + size).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def _edited(w: Column, e: Column, s: Column, pivot: Column, at: Column) -> Column:
+    """Texts after one edit more where a text leaves the pivot: an array of (w, e, s); wildcards are never edited."""
+    char, want = F.substring(s, at + 1, F.lit(1)), F.substring(pivot, at + 1, F.lit(1))
+    head, rest, tail = F.substring(s, F.lit(1), at), F.substring(s, at + 1, F.length(s)), F.substring(s, at + 2, F.length(s))
+    here, there = (char != "") & (char != WILD), (want != "") & (char != WILD)
+
+    def text(when, w, e, *parts):
+        return F.when(when, F.struct(w.cast("int").alias("w"), e.cast("int").alias("e"), F.concat(*parts).alias("s")))
+
+    found = F.array(text(here, w, e + 1, head, tail), text(there, w, e + 1, head, want, rest), text(here & there, w, e + 1, head, want, tail), text(here, w + 1, e, head, F.lit(WILD), tail))
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Candidates (earlier, later) among texts of small cells that have an edit left."""
+    x, y = rows.alias("x"), rows.alias("y")
+    spent, apart = F.col("x.w") + F.col("x.e") + F.col("y.e"), F.abs(F.length("x.s") - F.length("y.s"))
+    a, b = F.struct("x.id", "x.pos"), F.struct("y.id", "y.pos")
+    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (a < b) & (spent + F.greatest(apart, F.lit(1)) <= EDITS))
+    return met.select(a.alias("earlier"), b.alias("later")).distinct()
+
+
+def _equal(seen: DataFrame) -> DataFrame:
+    """(id, pos) of texts (id, pos, w, e, h1, h2) that an earlier line has too, within EDITS edits of both."""
+    place, spent = F.struct("id", "pos"), F.col("w") + F.col("e")
+    least = [F.min(F.when(F.col("e") <= k, place)).alias(f"least{k}") for k in range(EDITS + 1)]
+    texts = table(seen.groupBy("h1", "h2").agg(*least, F.max(place).alias("last")).where(f"least{EDITS} < last").drop("last"))
+    met = _joined(seen, _small(texts, texts.count(), BROADCAST_ROWS // 4), ["h1", "h2"])
+    # A text leaves its partner the edits that it has not spent itself.
+    first = F.lit(None).cast(texts.schema[f"least{EDITS}"].dataType)
+    for k in range(EDITS + 1):
+        first = F.when(spent == EDITS - k, F.col(f"least{k}")).otherwise(first)
+    return table(met.where(first < place).select("id", "pos").distinct())
+
+
+def _crowded(docs: DataFrame, hot: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, pos) of lines with an earlier one in reach, and candidates (earlier, later), among rows (id, pos, key) of crowded keys.
+
+    A text (w, e, s) of a line has w wildcards and e edits of its own: two lines that share s are within w and both e.
+    """
+    tied = table(hot.groupBy("id", "pos").agg(F.min("key").alias("least"), F.collect_set("key").alias("keys")))
+    # Keys that one line has are one cell, so that a line is in one cell only.
+    roots = table(components(tied.select(F.col("least").alias("a"), F.explode("keys").alias("b")).distinct()))
+    cells = tied.join(_small(roots, roots.count()), F.col("least") == F.col("node"), "left").select("id", "pos", F.coalesce("root", "least").alias("cell"))
+    lines = _joined(_fetch(docs, tied.select("id", "pos"), id_col, text_col), cells, ["id", "pos"]).where(F.length("line") >= NEAR_CHARS)
+    live = table(lines.select("cell", "id", "pos", F.lit(0).alias("w"), F.lit(0).alias("e"), F.col("line").alias("s")))
+
+    place, w, e, s, pivot, at = F.struct("id", "pos"), *(F.col(c) for c in ("w", "e", "s", "pivot", "at"))
+    hashed = ["id", "pos", "w", "e", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2")]
+    columns = ["cell", "id", "pos", "w", "e", "s", "pivot"]
+    seen, found = live.select(*hashed), []
     while True:
-        sizes = table(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("number").alias("least")).where(f"n > 1 and least < {SEGMENTS}").select("key", "n"))
-        rows = sizes.agg(F.count("*"), F.count(F.when(F.col("n") > CELL_LINES, 1))).first()
-        met = table(keyed.join(_small(sizes, rows[0]), "key"))
-        # What is left of a line may be too short to be cut again; it is paired as it is.
-        paired = (F.col("n") <= CELL_LINES) | (F.col("chars") < 2 * STEP)
-        found.append(_pairs(met.where(paired)))
-        hot = met.where(~paired)
-        if not rows[1] or hot.isEmpty():
+        # Texts that both have an edit of their own, or two wildcards, have none left: those need only be equal.
+        sizes = live.groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(e == 0, 1)).alias("whole"), F.min(place).alias("a"), F.max(place).alias("b"))
+        sizes = table(sizes.where("a < b and whole > 0").select("cell", "n", "whole"))
+        rows = sizes.agg(F.count("*"), F.count(F.when(F.col("n") > CELL_TEXTS, 1))).first()
+        met = table(live.join(_small(sizes, rows[0]), "cell"))
+        found.append(_few(met.where(F.col("n") <= CELL_TEXTS)))
+        if not rows[1]:
             break
-        # The rest of the lines of a crowded segment, within the group of that segment.
-        if rests is None:
-            joined = _joined(_fetch(docs, hot.select("id", "pos").distinct(), id_col, text_col), hot, ["id", "pos"])
-        else:
-            joined = _joined(hot, rests.select("id", "pos", "group", "line"), ["id", "pos", "group"])
-        rest = _rest(F.col("line"), F.col("chars"), F.col("number")).alias("line")
-        rests = joined.select("id", "pos", rest, F.col("key").alias("group")).distinct().withColumn("chars", F.length("line"))
-        rests = table(rests.withColumn("keys", _keys(F.col("line"), F.col("chars"), F.col("group"))))
-        keyed = _keyed(rests, "group")
+        crowd = met.where(F.col("n") > CELL_TEXTS)
+        drawn = F.xxhash64("s", "id", "pos")
+        middle = F.sort_array(F.collect_list(F.when(F.pmod(drawn, F.col("whole")) < PIVOT_LINES, s)))
+        pivots = crowd.where("e = 0").groupBy("cell").agg(middle.alias("some"), F.min_by("s", drawn).alias("one"))
+        pivots = table(pivots.select("cell", F.coalesce(F.get("some", F.floor(F.size("some") / 2).cast("int")), "one").alias("pivot")))
+        chars = pivots.agg(F.sum(F.length("pivot").cast("long"))).first()[0]
+        led = table(crowd.join(_small(pivots, chars, BROADCAST_CHARS), "cell").select(*columns).withColumn("at", _shared(s, pivot)))
+        once = led.where("w + e = 0").select("cell", "id", "pos", "pivot", F.inline(_edited(w, e, s, pivot, at))).select(*columns)
+        once = table(once.withColumn("at", _shared(s, pivot)))
+        led = led.union(once)
+        twice = led.where("w + e = 1").select("id", "pos", F.inline(_edited(w, e, s, pivot, at)))
+        seen = seen.union(table(once.select(*hashed).union(twice.select(*hashed))))
+        char = F.substring(s, at + 1, F.lit(1))
+        live = table(led.where(char != "").select(F.xxhash64("cell", "at", char).alias("cell"), "id", "pos", "w", "e", "s"))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
-    pairs = table(pairs.distinct())
-    return _verified(docs, pairs, id_col, text_col)
+    return _equal(seen), pairs
 
 
 def _fetch(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -217,7 +295,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) ->
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, dropped array<int>): the line numbers, from 0, that go from each document that loses any."""
     rows = _line_rows(docs, id_col, text_col)
-    keys = F.when(F.col("chars") >= NEAR_CHARS, _keys(F.col("line"), F.col("chars"), F.lit(0)))
+    keys = F.when(F.col("chars") >= NEAR_CHARS, _keys(F.col("line"), F.col("chars")))
     held = rows.select("h1", "h2", F.struct("id", "pos", "chars", keys.alias("keys")).alias("x"))
     first = table(held.groupBy("h1", "h2").agg(F.min("x").alias("x"), F.count("*").alias("n")).select("h1", "h2", "n", "x.*"))
     near = table(near_lines(docs, first, id_col, text_col))

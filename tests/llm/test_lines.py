@@ -125,3 +125,46 @@ def test_many_rows_of_one_id(spark):
     rows = [(7, f"{line} {i * i * 7919} and so on to the end of it") for i in range(300)] + [(8, f"{line} 7919 and so on to the end  of it")]
     got = lines.dedup_lines(texts(spark, rows))
     assert got.count() == 301 and got.where("doc_id = 8").first()["n_dropped"] == 1
+
+
+def verified(monkeypatch):
+    """Numbers of pairs that are compared, one for each call."""
+    counts, compare = [], lines._verified
+
+    def counted(docs, pairs, *columns):
+        counts.append(pairs.count())
+        return compare(docs, pairs, *columns)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    return counts
+
+
+def test_crowded_lines_form_few_pairs(spark, monkeypatch):
+    counts, rng = verified(monkeypatch), random.Random(9)
+    head, tail = ("".join(rng.choice("abcdefgh ") for _ in range(50)) for _ in range(2))
+    far = {i: head + "".join(rng.choice("klmnopqrst") for _ in range(14)) + tail for i in range(160)}
+    assert [r["n_dropped"] for r in lines.dedup_lines(texts(spark, list(far.items()))).collect()] == [0] * 160
+    near = {i: changed(rng, head + tail, 1, "klmnopqrst") for i in range(160)}
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(texts(spark, list(near.items()))).collect()}
+    assert got == brute(near) and all(n < 1500 for n in counts)
+
+
+def test_crowded_lines_match_brute_force(spark, monkeypatch):
+    for name, value in (("CELL_LINES", 2), ("CELL_TEXTS", 1), ("PIVOT_LINES", 4)):
+        monkeypatch.setattr(lines, name, value)
+    counts, rng, docs = verified(monkeypatch), random.Random(10), {}
+    for letters, length in (("ab", 31), ("abcdefé😀", 34), ("abc", 60)):
+        base = "".join(rng.choice(letters) for _ in range(length))
+        for _ in range(30):
+            docs[len(docs)] = changed(rng, base, rng.randrange(7), letters)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(texts(spark, list(docs.items()))).collect()}
+    want = brute(docs)
+    assert got == want and 20 < sum(not t for t in want.values()) < 80 and sum(counts) < 200
+
+
+def test_text_of_many_documents_is_not_met_by_a_broadcast(spark):
+    line = "a line that stands in all of the documents"
+    docs = spark.range(11_000).select(F.col("id").alias("doc_id"), F.lit(line).alias("text"))
+    got = lines.dedup_lines(docs)
+    assert "strategy=broadcast" not in got._jdf.queryExecution().logical().toString()
+    assert got.where("n_dropped = 1").count() == 10_999
