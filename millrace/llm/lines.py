@@ -320,7 +320,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Names that no column of the documents has.
     gone_id, dropped = (_free(source.columns, name) for name in ("gone_id", "dropped"))
     gone = table(dropped_lines(docs, id_col, text_col).select(F.col("id").alias(gone_id), F.col("dropped").alias(dropped)))
-    met = source.join(_small(gone, gone.count(), BROADCAST_LISTS), source[id_col].eqNullSafe(gone[gone_id]), "left")
+    # Sort-merge beyond that, whatever Spark takes the files for: else the texts move or not by how well a few numbers compress.
+    rows = gone.count()
+    side = _small(gone, rows, BROADCAST_LISTS) if rows <= BROADCAST_LISTS else gone.hint("merge")
+    met = source.join(side, source[id_col].eqNullSafe(gone[gone_id]), "left")
     lines = F.split(source[text_col], "\n", -1)
     kept = let(lines, lambda held: F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.col(dropped)), lambda at: F.get(held, at)))
     text = F.when(F.col(dropped).isNull(), source[text_col]).otherwise(F.array_join(kept, "\n"))

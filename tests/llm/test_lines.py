@@ -166,5 +166,5 @@ def test_text_of_many_documents_is_not_met_by_a_broadcast(spark):
     line = "a line that stands in all of the documents"
     docs = spark.range(11_000).select(F.col("id").alias("doc_id"), F.lit(line).alias("text"))
     got = lines.dedup_lines(docs)
-    assert "strategy=broadcast" not in got._jdf.queryExecution().logical().toString()
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().sparkPlan().toString()
     assert got.where("n_dropped = 1").count() == 10_999
