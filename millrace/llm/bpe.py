@@ -4,8 +4,10 @@ The words of a block of documents are laid out once in one row of symbols. An in
 from every merge to the positions where it applies. Merges are replayed in rank order; each visits
 only its own positions, and only the two neighbours of a merged pair enter the index anew.
 
-Words met before in the same worker come from a table of bounded size, so a word is replayed once
-per worker in the usual case. The vocabulary (a fixed file of under 1 MB) is the only thing that is
+Words met before in the same worker come from a table of bounded size, so a frequent word is replayed
+once per worker in the usual case. Texts are cut one at a time: a block never lies in memory word by
+word, only its distinct words do. A worker outlives its task, and what it keeps counts in the executor's
+memory during later stages too. The vocabulary (a fixed file of under 1 MB) is the only thing that is
 broadcast; no row is shuffled.
 """
 
@@ -22,7 +24,11 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.common import blocks, quietly
 
-CACHED_WORDS = 400_000
+#: Words kept in each of the two tables beside those of the block at hand, and ranks of pairs kept.
+CACHED_WORDS = 100_000
+CACHED_PAIRS = 100_000
+#: Pieces that are replayed together.
+TOGETHER = 32_768
 BLOCK_BYTES = 8_000_000
 
 
@@ -31,6 +37,11 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
+def _keys(left: np.ndarray, right) -> np.ndarray:
+    """Two symbols each, packed into one integer."""
+    return left.astype(np.int64) << 32 | right
+
+
 class Encoder:
     """Encodes words with a vocabulary of ranks; `pattern` cuts a text into words."""
 
@@ -38,7 +49,7 @@ class Encoder:
         self.ranks = ranks
         self.words = regex.compile(pattern)
         self.token = {rank: token for token, rank in ranks.items()}
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.pair_ranks: dict[int, int] = {}
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
@@ -71,17 +82,19 @@ class Encoder:
         """
         if not words:
             return []
+        if len(self.pair_ranks) > CACHED_PAIRS:
+            self.pair_ranks.clear()
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
         ends = np.cumsum([len(w) for w in words])
         n = len(flat)
-        symbol, after, before = self.byte[flat], np.arange(1, n + 1), np.arange(-1, n - 1)
+        symbol, after, before = self.byte[flat], np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[np.concatenate(([0], ends[:-1]))] = -1
         index: dict[int, list] = {}
         queue: list[int] = []
-        places = np.flatnonzero(after >= 0)
+        places = np.flatnonzero(after >= 0).astype(np.int32)
         if len(places):
-            self._enter(index, queue, symbol[places] << 32 | symbol[places + 1], places)
+            self._enter(index, queue, _keys(symbol[places], symbol[places + 1]), places)
         while queue:
             rank = heappop(queue)
             entries = index.pop(rank)
@@ -91,7 +104,7 @@ class Encoder:
                 at, where = np.unique(np.concatenate([places for _, places in entries]), return_index=True)
                 key = np.repeat([key for key, _ in entries], [len(places) for _, places in entries])[where]
             right = after[at]
-            at = at[(right >= 0) & (symbol[at] << 32 | symbol[right] == key)]
+            at = at[(right >= 0) & (_keys(symbol[at], symbol[right]) == key)]
             if not len(at):
                 continue
             if len(at) > 1:
@@ -108,7 +121,7 @@ class Encoder:
             before[last] = left
             prior = before[at]
             prior = prior[prior >= 0]
-            keys = np.concatenate((rank << 32 | symbol[last], symbol[prior] << 32 | rank))
+            keys = np.concatenate((rank << 32 | symbol[last].astype(np.int64), _keys(symbol[prior], rank)))
             if len(keys):
                 self._enter(index, queue, keys, np.concatenate((left, prior)))
         alive = symbol >= 0
@@ -120,15 +133,19 @@ class Encoder:
         """Enter the ids of pieces that begin a line, and of pieces that follow one space.
 
         A piece that is empty, or has white space at an end, has no ids of its own (None): the space
-        beside it may belong to another word.
+        beside it may belong to another word. A table that grows past its size keeps only these pieces.
         """
         for known, pieces, lead in ((self.first, first, ""), (self.later, later, " ")):
-            if len(known) + len(pieces) > CACHED_WORDS:
-                known.clear()
             new = [p for p in pieces if p not in known]
+            if len(known) + len(new) > CACHED_WORDS:
+                kept = {p: known[p] for p in pieces if p in known}
+                known.clear()
+                known.update(kept)
             whole = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
             known.update(dict.fromkeys(new))
-            known.update(zip(whole, self.code([lead + p for p in whole]), strict=True))
+            for start in range(0, len(whole), TOGETHER):
+                part = whole[start : start + TOGETHER]
+                known.update(zip(part, self.code([lead + p for p in part]), strict=True))
 
     def code(self, texts: list[str]) -> list[bytes]:
         """The ids of texts by way of the pattern; their distinct words are replayed together."""
@@ -140,12 +157,18 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text as bytes. Lines are cut at single spaces, where words always end; texts
         with other white space go through the pattern as a whole."""
-        lines = [[line.split(" ") for line in text.split("\n")] if text else [] for text in texts]
-        self.learn({line[0] for text in lines for line in text}, set().union(*(line[1:] for text in lines for line in text)))
+        first, later = set(), set()
+        for text in filter(None, texts):
+            for line in text.split("\n"):
+                head, *rest = line.split(" ")
+                first.add(head)
+                later.update(rest)
+        self.learn(first, later)
         first, later, whole, out = self.first, self.later, [], []
-        for k, text in enumerate(lines):
+        for k, text in enumerate(texts):
+            lines = (line.split(" ") for line in text.split("\n")) if text else ()
             try:
-                out.append(self.break_ids.join([b"".join([first[line[0]], *[later[p] for p in line[1:]]]) for line in text]))
+                out.append(self.break_ids.join([b"".join([first[line[0]], *[later[p] for p in line[1:]]]) for line in lines]))
             except TypeError:
                 whole.append(k)
                 out.append(b"")
@@ -219,10 +242,10 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         encoder = _prepared(held.value, pattern)
         for part in quietly(blocks(batches, 1, BLOCK_BYTES)):
             coded = encoder.encode(part.column(1).to_pylist())
-            back = [encoder.decode(np.frombuffer(b, dtype="<u4").tolist()) for b in coded]
+            back = [hashlib.sha256(encoder.decode(np.frombuffer(b, dtype="<u4").tolist())).hexdigest() for b in coded]
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([len(b) // 4 for b in coded], type=pa.int64()),
-                pa.array([hashlib.sha256(b).hexdigest() for b in coded]), pa.array([hashlib.sha256(b).hexdigest() for b in back]),
+                pa.array([hashlib.sha256(b).hexdigest() for b in coded]), pa.array(back),
             ], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -142,12 +142,15 @@ class Network:
 
 
 class Texts:
-    """Texts as windows of word numbers; number -1 pads texts of fewer words than a window."""
+    """Texts as windows of word numbers; number -1 pads texts of fewer words than a window.
+
+    Texts are cut one at a time, so only the distinct words are held beside their numbers.
+    """
 
     def __init__(self, texts: list[str | None]):
-        rows = [words_of(t) for t in texts]
         number: dict[bytes, int] = {}
-        flat = np.array([number.setdefault(w, len(number)) for row in rows for w in row], dtype=np.int64)
+        rows = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int32) for t in texts]
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         self.words = list(number)
         sizes = np.array([len(row) for row in rows], dtype=np.int64)
         counts = np.where(sizes > 0, np.maximum(0, -(-(sizes - WINDOW) // STEP)) + 1, 0)
@@ -156,9 +159,13 @@ class Texts:
         # The last window of a text ends with it.
         first = np.minimum(place * STEP, np.maximum(0, sizes[self.owner] - WINDOW))
         base = (np.cumsum(sizes) - sizes)[self.owner]
-        at = first[:, None] + np.arange(WINDOW)
-        self.mask = at < sizes[self.owner][:, None]
-        self.index = np.where(self.mask, flat[np.minimum(base[:, None] + at, max(0, len(flat) - 1))] if len(flat) else -1, -1)
+        self.mask = np.empty((len(self.owner), WINDOW), dtype=bool)
+        self.index = np.full((len(self.owner), WINDOW), -1, dtype=np.int32)
+        for start in range(0, len(self.owner), BATCH):
+            part = slice(start, start + BATCH)
+            at = first[part, None] + np.arange(WINDOW)
+            self.mask[part] = at < sizes[self.owner[part], None]
+            self.index[part] = np.where(self.mask[part], flat[np.minimum(base[part, None] + at, len(flat) - 1)], -1)
 
 
 def window_logits(net: Network, texts: Texts) -> np.ndarray:

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -71,3 +72,31 @@ def test_small_cache(spark, monkeypatch, own, coder):
     for text in ("one two three four", "five six seven eight nine ten eleven", "one two three"):
         assert ids(own, text) == coder.encode_ordinary(text)
     assert texts(spark, []).count() == 0
+
+
+def test_a_block_is_not_held_word_by_word(own, coder):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abdeghilmnorst") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+    block = [" ".join(rng.choices(words, k=20_000)) for _ in range(30)]
+    own.encode(block[:1])
+    tracemalloc.start()
+    found = own.encode(block)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [int.from_bytes(found[7][i : i + 4], "little") for i in range(0, len(found[7]), 4)] == coder.encode_ordinary(block[7])
+    # The ids take 4 MB or so; one string for each of the 600,000 words would take over 30 MB.
+    assert most < 16e6
+
+
+def test_tables_stay_small_and_keep_the_words_at_hand(monkeypatch, own, coder):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 20)
+    monkeypatch.setattr(bpe, "CACHED_PAIRS", 20)
+    monkeypatch.setattr(bpe, "TOGETHER", 7)
+    rng = random.Random(4)
+    common = ["kibula", "morfent", "zastrip"]
+    for _ in range(40):
+        text = " ".join(["x", *common, *("".join(rng.choices("abcdefgh", k=9)) for _ in range(12))])
+        assert ids(own, text) == coder.encode_ordinary(text)
+        assert len(own.later) <= 20 + 15 and set(common) <= set(own.later)
+        # The pairs of the pieces replayed last come on top.
+        assert len(own.pair_ranks) <= 20 + 7 * 2 * 10

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -101,3 +102,27 @@ def test_labels_of_one_kind_or_none(spark):
     for rows in ([], [(1, 0), (None, 1)], [(2, None)]):
         net = toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
         assert {r["predicted"] for r in toxicity.score(docs, net).collect()} == {0}
+
+
+def test_windows_of_texts_need_little_memory(monkeypatch):
+    monkeypatch.setattr(toxicity, "BATCH", 50)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (0, 1, 23, 24, 25, 36, 37, 5000)] + [None]
+    found = toxicity.Texts(texts)
+    want = []
+    for k, text in enumerate(texts):
+        own = (text or "").split()
+        starts = [min(s, max(0, len(own) - toxicity.WINDOW)) for s in range(0, max(1, len(own) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)] if own else []
+        want += [(k, own[s : s + toxicity.WINDOW]) for s in starts]
+    assert [(int(k), [found.words[i].decode() for i in row[on]]) for k, row, on in zip(found.owner, found.index, found.mask, strict=True)] == want
+    assert (found.index[~found.mask] == -1).all()
+
+    monkeypatch.setattr(toxicity, "BATCH", 4096)
+    texts = [" ".join(rng.choices(words, k=20_000)) for _ in range(30)]
+    tracemalloc.start()
+    found = toxicity.Texts(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The windows take 6 MB; one string for each of the 600,000 words would take over 20 MB.
+    assert len(found.owner) == 30 * 1666 and most < 18e6
