@@ -14,6 +14,11 @@ per shard, over languages and words written in two digits. Each trie is broadcas
 at every word of a block and advances all of them at once, digit by digit; states without a child drop out. The
 states that accept a candidate are counted by bincount, and the counts of the tasks are summed. These counts are
 exact. Where a hash was seen more often than its phrase, others share it: they are spelled out by all blocks and counted too.
+
+This reads all blocks as often as there are tries, and their number grows with the blocks. Beyond UNIT_PLACES places
+one pass deals out what stands in the blocks instead: the shard of a phrase and of a place follow from the same hash, so that a
+place meets one trie for each number of words. Places with the same words are sent once, with their number, and a
+state is advanced for each of them in the same way.
 """
 
 from __future__ import annotations
@@ -34,6 +39,9 @@ from millrace.llm.common import arrow_rows, blocks, table
 WORDS = 3
 #: Phrases of a trie, of which a task holds one; more phrases make more tries.
 TRIE_PHRASES = 400_000
+#: Distinct phrases that a task holds before it deals them out; places of which one copy of a trie gets the phrases. Up
+#: to so many places the tries are broadcast in turn.
+DEALT, UNIT_PLACES = 1_000_000, 20_000_000
 #: A bitmap of hashes that is sent to the tasks has 2**BITMAP[0] to 2**BITMAP[1] bits (at most 16 MB), of these some
 #: BITS_A_HASH per hash; beyond that more false hits add candidates.
 BITMAP, BITS_A_HASH = (18, 27), 16
@@ -260,12 +268,14 @@ def _spelled(held: DataFrame, bitmaps: list, wanted: DataFrame, mask: int, every
                 names = [block.names.take(pa.array(block.code[at + k])) for k in range(size)]
                 phrase = pc.binary_join_element_wise(*names, pa.scalar(" ", names[0].type)) if size > 1 else names[0]
                 lang = block.langs.take(pa.array(block.lang[at]))
-                yield pa.record_batch({"size": pa.array(np.full(len(at), size, np.int32)), "h": pa.array(h.view(np.int64)), "lang": lang.cast(pa.string()), "phrase": phrase.cast(pa.string())})
+                yield pa.record_batch({"size": pa.array(np.full(len(at), size, np.int32)), "h": pa.array(h.view(np.int64)), "block": pa.array(np.full(len(at), block.number)), "lang": lang.cast(pa.string()), "phrase": phrase.cast(pa.string())})
 
-    found = held.mapInArrow(run, "size int, h long, lang string, phrase string").distinct()
-    # The bitmap may let more through; the hashes themselves do not.
+    found, keys = held.mapInArrow(run, "size int, h long, block long, lang string, phrase string"), ["size", "h", "block"]
+    if everywhere:
+        found, keys = found.drop("block").distinct(), ["size", "h"]
+    # The bitmap may let more through; the hashes themselves do not. A block has one phrase of a hash.
     with arrow_rows(held.sparkSession, BATCH_BLOCKS):
-        phrases = table(found.join(wanted.select("size", "h"), ["size", "h"], "left_semi"))
+        phrases = table(found.join(wanted.select(*keys), keys, "left_semi").select("size", "h", "lang", "phrase"))
     sent.destroy()
     return phrases
 
@@ -403,8 +413,8 @@ class Trie:
             at, now = at[fit], child[fit]
         return at, now
 
-    def counts(self, block) -> np.ndarray:
-        """How often each phrase stands in a block."""
+    def known(self, block) -> tuple[np.ndarray, np.ndarray]:
+        """The state of every language of a block and the symbol of every one of its distinct words, -1 for none."""
 
         def codes(names, known):
             return pc.fill_null(pc.index_in(names.cast(known.type), value_set=known), -1).to_numpy()
@@ -413,7 +423,12 @@ class Trie:
         with_root, roots = self.advance(np.zeros(len(of_lang), np.int32), of_lang)
         root = np.full(len(of_lang), -1, np.int32)
         root[with_root] = roots
-        symbols = codes(block.names, self.words)[block.code]
+        return root, codes(block.names, self.words)
+
+    def counts(self, block) -> np.ndarray:
+        """How often each phrase stands in a block."""
+        root, symbols = self.known(block)
+        symbols = symbols[block.code]
         at = np.flatnonzero(symbols >= 0)
         states = root[block.lang[at]]
         at, states = at[states >= 0], states[states >= 0]
@@ -426,6 +441,101 @@ class Trie:
             at, states = at[on], states[on]
         return out
 
+    def sums(self, piece: Piece) -> np.ndarray:
+        """How often each phrase stands at the places of a piece."""
+        root, symbols = self.known(piece)
+        states = root[piece.lang]
+        at = np.flatnonzero(states >= 0)
+        states = states[at]
+        out = np.zeros(self.phrases, np.int64)
+        for level in range(WORDS):
+            fit, states = self.advance(states, symbols[piece.words[level, at]])
+            at = at[fit]
+            whole = piece.size[at] == level + 1
+            accepted, n = self.accepts[states[whole]], piece.n[at[whole]]
+            out += np.bincount(accepted[accepted >= 0], weights=n[accepted >= 0], minlength=self.phrases).astype(np.int64)
+            at, states = at[~whole], states[~whole]
+        return out
+
+
+class Piece:
+    """Phrases of some blocks as they are dealt out: per phrase the number `lang` of its language in `langs`, `words` (-1 for
+    none after the last one), numbers in `names`, and `n`, the places it stands at."""
+
+    def __init__(self, names: bytes, langs: bytes, rows: bytes):
+        # No word holds a line feed.
+        self.names, self.langs = pc.split_pattern(pa.array([zlib.decompress(names)], pa.large_binary()), "\n").flatten(), _read(langs)
+        self.lang, *words, self.n = np.frombuffer(zlib.decompress(rows), np.int32).reshape(WORDS + 2, -1)
+        self.words = np.array(words)
+        self.size = (self.words >= 0).sum(axis=0)
+
+
+def distinct(h: np.ndarray, rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal columns of `rows` with the same hash as one, with the sum of their `n`. Where others share the hash, some may stay apart."""
+    order = np.argsort(h)
+    h, rows = h[order], np.take(rows, order, axis=1)
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    for row in rows:
+        new[1:] |= row[1:] != row[:-1]
+    starts = np.flatnonzero(new)
+    return h[starts], np.take(rows, starts, axis=1), np.add.reduceat(n[order], starts, dtype=np.int32) if len(starts) else n
+
+
+class Dealer:
+    """Phrases of the blocks of a task, counted until they are dealt out."""
+
+    def __init__(self, most: int):
+        self.parts, self.size, self.places, self.most = [], 0, 0, most
+
+    def full(self) -> bool:
+        # Numbers of places are sent in 32 bits; a block has fewer than 2**30.
+        return self.size > self.most or self.places >= 1 << 30
+
+    def add(self, block: Block, found: list[tuple[np.ndarray, np.ndarray]]):
+        """The places and hashes of levels()."""
+        at, h = (np.concatenate(x) for x in zip(*found, strict=True))
+        rows = np.full((WORDS + 1, len(at)), -1, np.int32)
+        rows[0] = block.lang[at]
+        start = 0
+        for size, (some, _) in enumerate(found, 1):
+            for k in range(size):
+                rows[k + 1, start : start + len(some)] = block.code[some + k]
+            start += len(some)
+        self.parts.append((block.names, block.langs, *distinct(h, rows, np.ones(len(at), np.int32))))
+        self.size += len(self.parts[-1][2])
+        self.places += len(at)
+
+    def deal(self, shards: int):
+        """(shard, names, langs, rows) for Piece."""
+        if not self.size:
+            return
+        # One numbering of the words and languages of all blocks.
+        names, langs = (pa.concat_arrays([p[i] for p in self.parts]).dictionary_encode() for i in (0, 1))
+        new_name, new_lang = names.indices.to_numpy(), langs.indices.to_numpy()
+        at_name = at_lang = 0
+        for held, spoken, _, rows, _ in self.parts:
+            rows[0] = new_lang[rows[0] + at_lang]
+            rows[1:] = np.where(rows[1:] < 0, -1, new_name[rows[1:] + at_name])
+            at_name, at_lang = at_name + len(held), at_lang + len(spoken)
+        h, rows, n = distinct(np.concatenate([p[2] for p in self.parts]), np.concatenate([p[3] for p in self.parts], axis=1), np.concatenate([p[4] for p in self.parts]))
+        self.parts, self.size, self.places = [], 0, 0
+        shard = h.view(np.int64) % shards
+        # Words in order compress.
+        order = np.argsort(shard * len(names.dictionary) + rows[1])
+        table, spoken = np.take(np.concatenate((rows, n[None])), order, axis=1), _stored(langs.dictionary)
+        ends = np.searchsorted(shard[order], np.arange(shards + 1))
+        number = np.full(len(names.dictionary) + 1, -1, np.int32)
+        for k in np.flatnonzero(np.diff(ends)):
+            some = table[:, ends[k] : ends[k + 1]].copy()
+            # A place more for -1, the last one.
+            here = np.zeros(len(number), bool)
+            here[some[1:-1]] = True
+            used = np.flatnonzero(here[:-1])
+            number[used] = np.arange(len(used))
+            some[1:-1] = number[some[1:-1]]
+            yield int(k), zlib.compress(b"\n".join(names.dictionary.take(pa.array(used)).cast(pa.large_binary()).to_pylist()), 1), spoken, zlib.compress(some.tobytes(), 1)
+
 
 def _counted(held: DataFrame, trie: Trie, shard: int) -> DataFrame:
     """(shard, number, n) of the phrases of a trie that stand in the blocks."""
@@ -446,13 +556,55 @@ def _counted(held: DataFrame, trie: Trie, shard: int) -> DataFrame:
     return sums
 
 
-def count_phrases(held: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(size, h, lang, phrase, n): the phrases (size, h, lang, phrase) with their exact counts, by one trie after the other."""
+def _dealt(held: DataFrame, tries: DataFrame, shards: int, places: int, bitmaps: list, mask: int) -> DataFrame:
+    """(shard, number, n) of the phrases of all tries that stand in the blocks, at about so many places.
+
+    The phrases of a shard are counted by as many copies of its trie as their places ask for.
+    """
+    sent, most, copies = held.sparkSession.sparkContext.broadcast(bitmaps), DEALT, max(1, math.ceil(places / (shards * UNIT_PLACES)))
+    names = ("names", "langs", "rows")
+
+    def run(batches):
+        dealer, copy = Dealer(most), TaskContext.get().partitionId()
+
+        def batch(copy):
+            for shard, *values in dealer.deal(shards):
+                yield pa.record_batch({"unit": pa.array([shard * copies + copy % copies], pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in zip(names, values, strict=True)}})
+
+        for block in read_blocks(batches):
+            dealer.add(block, levels(block, sent.value, mask))
+            if dealer.full():
+                yield from batch(copy)
+                copy += 1
+        yield from batch(copy)
+
+    def match(pieces, tries):
+        total = np.zeros(0, np.int64)
+        if pieces.num_rows and tries.num_rows:
+            trie = Trie(*(tries.column(k)[0].as_py() for k in ("words", "langs", "base", "check", "accepts")))
+            total = sum(trie.sums(Piece(*(pieces.column(k)[i].as_py() for k in names))) for i in range(pieces.num_rows))
+        number = np.flatnonzero(total)
+        shard = tries.column("shard")[0].as_py() if tries.num_rows else 0
+        return pa.table({"shard": pa.array(np.full(len(number), shard, np.int32)), "number": pa.array(number.astype(np.int32)), "n": pa.array(total[number])})
+
+    pieces = held.mapInArrow(run, "unit int, names binary, langs binary, rows binary")
+    copied = tries.where("base is not null").select("shard", "words", "langs", "base", "check", "accepts", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    copied = copied.withColumn("unit", (F.col("shard") * copies + F.col("copy")).cast("int")).drop("copy")
+    with arrow_rows(held.sparkSession, BATCH_BLOCKS):
+        found = pieces.groupBy("unit").cogroup(copied.groupBy("unit")).applyInArrow(match, "shard int, number int, n long")
+        sums = table(found.groupBy("shard", "number").agg(F.sum("n").alias("n")))
+    sent.destroy()
+    return sums
+
+
+def count_phrases(held: DataFrame, phrases: DataFrame, places: int, bitmaps: list, mask: int) -> DataFrame:
+    """(size, h, lang, phrase, n): the phrases (size, h, lang, phrase) with their exact counts, by one trie after the other.
+    `places` is about the number of places they stand at; `bitmaps` and `mask` are those of levels()."""
     shards = max(1, math.ceil(phrases.count() / TRIE_PHRASES))
-    dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
-    tries = table(dealt.groupBy("shard").applyInArrow(build, BUILT_DDL))
-    counts = None
-    for shard in range(shards):
+    # By the hash that a place has, too.
+    tries = table(phrases.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, BUILT_DDL))
+    counts = _dealt(held, tries, shards, places, bitmaps, mask) if places > UNIT_PLACES else None
+    for shard in range(shards if counts is None else 0):
         row = tries.where((F.col("shard") == shard) & F.col("base").isNotNull()).select("words", "langs", "base", "check", "accepts").first()
         if row is not None:
             some = _counted(held, Trie(*row), shard)
@@ -473,13 +625,17 @@ def phrase_counts(held: DataFrame, least: int, mask: int = 2**64 - 1) -> DataFra
     wanted = hashes[0]
     for more in hashes[1:]:
         wanted = wanted.union(more)
-    counts = count_phrases(held, _spelled(held, bitmaps, wanted, mask, everywhere=False))
+
+    def counted(phrases, hashes):
+        return count_phrases(held, phrases, hashes.agg(F.sum("n")).first()[0] or 0, bitmaps, mask)
+
+    counts = counted(_spelled(held, bitmaps, wanted, mask, everywhere=False), wanted)
     # A hash that stands more often than its phrase has other phrases, too.
     seen = counts.groupBy("size", "h").agg(F.sum("n").alias("seen"))
-    shared = table(wanted.join(seen, ["size", "h"], "left").where(F.coalesce("seen", F.lit(0)) < F.col("n")).select("size", "h", "block"))
+    shared = table(wanted.join(seen, ["size", "h"], "left").where(F.coalesce("seen", F.lit(0)) < F.col("n")).select("size", "h", "n", "block"))
     if not shared.isEmpty():
         others = _spelled(held, bitmaps, shared, mask, everywhere=True).join(counts, ["size", "lang", "phrase"], "left_anti")
-        counts = counts.union(count_phrases(held, table(others.select("size", "h", "lang", "phrase"))))
+        counts = counts.union(counted(table(others.select("size", "h", "lang", "phrase")), shared))
     return table(counts.where(F.col("n") >= least).select("lang", "phrase", "size", "n"))
 
 

@@ -130,3 +130,39 @@ def test_hard_rows(spark):
     empty = no_rows(spark).withColumn("lang", F.lit("en"))
     assert collocations.collocations(empty).count() == 0
     assert collocations.collocations(df.where("text = ''")).count() == 0
+
+
+def test_many_tries_do_not_read_all_blocks_each(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "TRIE_PHRASES", 100)
+    monkeypatch.setattr(collocations, "DEALT", 500, raising=False)
+    monkeypatch.setattr(collocations, "UNIT_PLACES", 200, raising=False)
+    passes, counted = [], collocations._counted
+    monkeypatch.setattr(collocations, "_counted", lambda *a: passes.append(a) or counted(*a))
+    rows = corpus(10, 300, 200)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert as_rows(collocations.collocations(df, 4)) == brute(rows, 4)
+    assert len(passes) <= 2
+
+
+@pytest.mark.parametrize("mask", [2**64 - 1, 15])
+def test_dealt_phrases_are_those_of_the_blocks(mask):
+    rows = corpus(11, 200, 40)
+    whole = np.full(1 << 15, 255, np.uint8)
+    dealer, want = collocations.Dealer(10**6), Counter()
+    for number in range(4):
+        words = collocations.Words(pa.array([t for t, _ in rows[number * 50 : number * 50 + 50]]))
+        langs = pa.array([str(g) for _, g in rows[number * 50 : number * 50 + 50]]).dictionary_encode()
+        hashes = np.array([collocations.xxhash.xxh64_intdigest(x.as_py().encode()) for x in words.names], np.uint64)
+        block = SimpleNamespace(names=words.names, hashes=hashes, code=words.code, joined=words.joined, langs=langs.dictionary, lang=langs.indices.to_numpy()[words.text])
+        dealer.add(block, collocations.levels(block, [whole] * 3, mask))
+        names, lang = [words.names[int(c)].as_py() for c in words.code], [langs.dictionary[int(k)].as_py() for k in block.lang]
+        for k in (1, 2, 3):
+            want.update((lang[i], *names[i : i + k]) for i in range(len(names) - k + 1) if all(words.joined[i : i + k - 1]))
+    got, shards = Counter(), {}
+    for shard, *stored in dealer.deal(3):
+        piece = collocations.Piece(*stored)
+        for j in range(len(piece.n)):
+            phrase = (piece.langs[int(piece.lang[j])].as_py(), *[piece.names[int(w)].as_py().decode() for w in piece.words[: piece.size[j], j]])
+            got[phrase] += int(piece.n[j])
+            shards.setdefault(phrase, set()).add(shard)
+    assert got == want and all(len(s) == 1 for s in shards.values()) and not list(dealer.deal(3))
